@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+import public_tokenizers
+
+from . import common, substring, tokenfile
+
+WORDS = "word_bpe_49k.json"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = common.place(spark, "tokens")
+    tokenfile.write(_t(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), uri)
+    return tokenfile.read_digests(spark, uri)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_substring_dedup,)}
+    return {f.__name__: f for f in (op1_token_files, op7_substring_dedup,)}
 
 
 def oracle_sql() -> dict:
