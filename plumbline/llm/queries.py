@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import common, substring, tokenfile
+from . import bpe, common, packing, substring, tokenfile
 
-WORDS = "word_bpe_49k.json"
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,20 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_digests(spark, uri)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op7_substring_dedup,)}
+    return {f.__name__: f for f in (op1_token_files, op4_packing, op6_byte_bpe, op7_substring_dedup,)}
 
 
 def oracle_sql() -> dict:
