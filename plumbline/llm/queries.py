@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, packing, substring, tokenfile
+from . import bpe, common, packing, simhash, substring, tokenfile
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -25,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op5_simhash_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_t(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
@@ -34,7 +40,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_packing, op6_byte_bpe, op7_substring_dedup,)}
+    return {f.__name__: f for f in (op1_token_files, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup,)}
 
 
 def oracle_sql() -> dict:
