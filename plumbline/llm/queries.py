@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, packing, simhash, substring, tokenfile
+from . import bpe, common, packing, quality, simhash, substring, tokenfile
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -39,8 +39,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup,)}
+    return {f.__name__: f for f in (op1_token_files, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup, op9_line_field)}
 
 
 def oracle_sql() -> dict:
