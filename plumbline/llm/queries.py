@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, packing, quality, simhash, substring, tokenfile
+from . import bpe, common, packing, pivots, quality, quantise, simhash, substring, tokenfile
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_digests(spark, uri)
 
 
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_t(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -43,8 +47,12 @@ def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.nearest(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup, op9_line_field)}
+    return {f.__name__: f for f in (op1_token_files, op2_pivot_index, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup, op9_line_field, op10_additive_quantisation)}
 
 
 def oracle_sql() -> dict:
