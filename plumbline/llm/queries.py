@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, packing, pivots, quality, quantise, simhash, substring, tokenfile
+from . import bpe, common, licenses, packing, pivots, quality, quantise, simhash, substring, tokenfile, urls
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(_t(spark, sf_dir, "embeddings"))
 
 
+def op3_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_t(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -43,6 +47,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_url_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages")
+    return urls.judge(urls.dated(pages), urls.sample_list(pages))
+
+
 def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
@@ -52,8 +61,9 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_pivot_index, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup, op9_line_field, op10_additive_quantisation)}
+    return {f.__name__: f for f in (op1_token_files, op2_pivot_index, op3_license_bands, op4_packing, op5_simhash_graph, op6_byte_bpe, op7_substring_dedup, op8_url_timeline, op9_line_field, op10_additive_quantisation)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """Those that SQL can express; tests hold the others against brute force, a round trip or held-out rows."""
+    return {"op3_license_bands": licenses.sql(), "op8_url_timeline": urls.SQL}
