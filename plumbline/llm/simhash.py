@@ -11,11 +11,11 @@ one shingle, all its words.
    shard but for one in 16,000 at 0.8 itself (0.2 ** 6), so queries go out to the shards that can
    hold an answer instead of to all, and work stays in proportion to the number of documents.
 3. Each shard grows a small-world graph: every node in turn searches those before it with a beam,
-   from the latest node of the same least hash and from a few others, and is linked to its nearest.
+   from the latest nodes of the same least hash and from a few others, and is linked to its nearest.
    What it finds within the radius are candidates. A beam that is full of candidates is doubled, up
    to a limit; of nodes still full at the limit the answer is completed by the exact search below.
-   A sample of queries in each shard is searched exactly as well; if the audit's recall is below
-   RECALL, all is repeated with beams twice as wide.
+   A sample of queries in each shard is searched exactly as well; if less than RECALL of the pairs
+   they find are among the candidates of any shard, all is repeated with beams twice as wide.
 4. Candidates are verified on their whole texts: first each node's nearest, whose links make
    classes; then all candidates whose ends are in different classes. For nodes whose beams stayed
    full an exact scan of their shards finds every node of another class within the radius. A pair
@@ -42,14 +42,23 @@ from . import textwords as T
 U = np.uint64
 MINHASHES = 6
 RADIUS, RADIUS_SHORT, SHORT = 40, 48, 20
-SHARD, BLOCK = 4096, 16384
-LINKS, ENTRIES, BATCH = 8, 8, 256
+SHARD, BLOCK = 8192, 32768
+LINKS, SAME, ENTRIES, BATCH = 8, 4, 8, 256
 RECALL = 0.98
 _FAR = 999
 _SEEDS = T.mix(np.arange(1, 40, dtype=U) * U(0x9E3779B97F4A7C15))
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], U)  # a bit to a byte each
 
 
+def distinct(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text once."""
+    text = np.repeat(np.arange(len(count)), count)
+    o = np.argsort(h, kind="stable")  # equal hashes of one text come together
+    again = np.zeros(len(h), bool)
+    again[o[1:]] = (h[o[1:]] == h[o[:-1]]) & (text[o[1:]] == text[o[:-1]])
+    return h[~again], count - np.bincount(text[again], minlength=len(count))
+
+
 def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     """(texts, 2) of shingle hashes h, of which each text has count. Bit set where most hashes have it set."""
     n = len(count)
@@ -71,7 +80,7 @@ def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def signatures(w: T.Words, k: int) -> dict[str, np.ndarray]:
-    h, count = w.shingles(k)
+    h, count = distinct(*w.shingles(k))
     n = len(w)
     some = np.flatnonzero(count)
     first = np.concatenate(([0], np.cumsum(count[some])))[:-1]
@@ -107,17 +116,23 @@ def _sign(k: int):
 class Graph:
     """The nodes of one shard: sim (n, 2), anchor, count, and which of them are indexed (the first ones)."""
 
-    def __init__(self, sim: np.ndarray, anchor: np.ndarray, count: np.ndarray, indexed: int) -> None:
+    def __init__(self, sim: np.ndarray, anchor: np.ndarray, count: np.ndarray, indexed: int, similarity: float = 0.8) -> None:
         self.sim, self.anchor, self.count, self.indexed = sim, anchor.tolist(), count, indexed
         self.links = np.full((indexed, 2 * LINKS), -1, np.int32)
         self.back = np.zeros(indexed, np.int64)
-        self.latest: dict[int, int] = {}
+        self.latest: dict[int, list[int]] = {}
         self.radius = np.where(count < SHORT, RADIUS_SHORT, RADIUS)
+        self.similarity = similarity
 
     def distance(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         d = np.bitwise_count(self.sim[nodes] ^ self.sim[q][:, None, :]).astype(np.int16).sum(axis=2, dtype=np.int16)
         return np.where(nodes < 0, np.int16(_FAR), d)
 
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether two nodes' numbers of distinct shingles let them reach the similarity."""
+        a, b = np.minimum(self.count[i], self.count[j]), np.maximum(self.count[i], self.count[j])
+        return a.astype(np.int64) * 1_000_000 >= b.astype(np.int64) * round(self.similarity * 1_000_000)
+
     def beam(self, q: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, distances) of the nearest found, nearest first, for each query; -1 where fewer."""
         n = len(q)
@@ -157,6 +172,7 @@ class Graph:
         for i, stop, r in zip(q.tolist(), upto.tolist(), self.radius[q].tolist()):
             d = np.bitwise_count(self.sim[:stop] ^ self.sim[i]).sum(axis=1, dtype=np.int16)
             j = np.flatnonzero(d <= r)
+            j = j[self.fits(np.full(len(j), i), j)]
             out.append((np.full(len(j), i), j, d[j]))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -172,8 +188,9 @@ class Graph:
             near, dist = np.full((len(q), 0), -1, np.int32), np.zeros((len(q), 0), np.int16)
             if before:
                 entries = np.empty((len(q), ENTRIES), np.int32)
-                entries[:, 0] = [self.latest.get(self.anchor[i], -1) for i in q.tolist()]
-                entries[:, 1:] = rng.integers(0, before, ENTRIES - 1)
+                none = [-1] * SAME
+                entries[:, :SAME] = [(self.latest.get(self.anchor[i], none) + none)[:SAME] for i in q.tolist()]
+                entries[:, SAME:] = rng.integers(0, before, ENTRIES - SAME)
                 near, dist = self.beam(q, entries, width)
                 open_, w = np.arange(len(q)), width
                 while True:
@@ -194,7 +211,8 @@ class Graph:
             all_d = np.concatenate([dist, own], axis=1)
             all_n = np.concatenate([near, np.broadcast_to(q.astype(np.int32), (len(q), len(q)))], axis=1)
             i, j = np.nonzero(all_d <= self.radius[q][:, None])
-            found.append((q[i], all_n[i, j], all_d[i, j]))
+            ok = self.fits(q[i], all_n[i, j])
+            found.append((q[i[ok]], all_n[i[ok], j[ok]], all_d[i[ok], j[ok]]))
             add = q[q < self.indexed]
             if len(add):
                 m = min(LINKS, all_d.shape[1])
@@ -210,7 +228,7 @@ class Graph:
                     self.links[dst, LINKS + (self.back[dst] + nth) % LINKS] = src
                     np.add.at(self.back, dst, 1)
                 for i in add.tolist():
-                    self.latest[self.anchor[i]] = i
+                    self.latest[self.anchor[i]] = [i, *self.latest.get(self.anchor[i], ())][:SAME]
         cat = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
         return *cat, np.concatenate(full) if full else np.zeros(0, np.int64)
 
@@ -224,21 +242,21 @@ def _rows(kind: int, a, b, d) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], schema=_FOUND)
 
 
-def _shard(t: pa.Table) -> tuple[Graph, np.ndarray, dict]:
+def _shard(t: pa.Table, similarity: float) -> tuple[Graph, np.ndarray, dict]:
     cols = {c: t.column(c).to_numpy() for c in t.column_names}
     o = np.lexsort((cols["id"], cols["guest"]))
     cols = {c: v[o] for c, v in cols.items()}
     sim = np.stack([cols["s0"].view(U), cols["s1"].view(U)], axis=1)
     indexed = int((cols["guest"] == 0).sum())
-    return Graph(sim, cols["anchor"], cols["n"], indexed), cols["id"], cols
+    return Graph(sim, cols["anchor"], cols["n"], indexed, similarity), cols["id"], cols
 
 
-def _search(width: int, limit: int):
+def _search(width: int, limit: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.groups(batches, ["route", "shard", "block"]):
             if t.num_rows < 2:
                 continue
-            g, ids, _ = _shard(t)
+            g, ids, _ = _shard(t, similarity)
             q, j, d, full = g.run(width, limit)
             yield _rows(PAIR, ids[q], ids[j], d)
             if len(full):
@@ -247,25 +265,26 @@ def _search(width: int, limit: int):
             some = np.flatnonzero(T.mix(ids.view(U).copy()) % U(64) == 0)
             some = some[~np.isin(some, full)][:64]
             eq, ej, ed = g.exact(some, np.minimum(some, g.indexed))
-            have = set(zip(q.tolist(), j.tolist()))
-            got = sum((a, b) in have for a, b in zip(eq.tolist(), ej.tolist()))
             if len(eq):
-                yield _rows(AUDIT, [len(eq)], [got], [0])
-                yield _rows(PAIR, ids[eq], ids[ej], ed)
+                yield _rows(AUDIT, ids[eq], ids[ej], ed)
 
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(similarity: float):
     """All pairs within the radius of an active node and a node of another class."""
-    for t in common.groups(batches, ["route", "shard", "block"]):
-        g, ids, cols = _shard(t)
-        cls = cols["cls"]
-        for i in np.flatnonzero(cols["active"]).tolist():
-            q, j, d = g.exact(np.array([i]), np.array([g.indexed]))
-            ok = cls[j] != cls[i]
-            if ok.any():
-                yield _rows(PAIR, ids[q[ok]], ids[j[ok]], d[ok])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.groups(batches, ["route", "shard", "block"]):
+            g, ids, cols = _shard(t, similarity)
+            cls = cols["cls"]
+            for i in np.flatnonzero(cols["active"]).tolist():
+                q, j, d = g.exact(np.array([i]), np.array([g.indexed]))
+                ok = cls[j] != cls[i]
+                if ok.any():
+                    yield _rows(PAIR, ids[q[ok]], ids[j[ok]], d[ok])
+
+    return run
 
 
 def _jaccard(k: int, similarity: float):
@@ -294,7 +313,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) ->
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_jaccard(k, similarity), "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 16, limit: int = 64, report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 32, limit: int = 128, report: dict | None = None) -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the smallest id of its class. report, if given,
     gets the audit's recall, the beam's width and the numbers of candidates and links."""
     spark = docs.sparkSession
@@ -317,16 +336,19 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     def in_shards(df: DataFrame) -> DataFrame:
         return df.repartition(n_parts, "route", "shard", "block").sortWithinPartitions("route", "shard", "block")
 
+    def pair(df: DataFrame, *kinds: int) -> DataFrame:
+        return df.where(F.col("kind").isin(*(kinds or (PAIR,)))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d").where("a <> b")
+
     while True:
-        found, found_at = common.written(in_shards(routed).mapInArrow(_search(width, max(limit, width)), _FOUND_SQL), "simhash-found")
-        exact, got = found.where(F.col("kind") == AUDIT).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+        found, found_at = common.written(in_shards(routed).mapInArrow(_search(width, max(limit, width), similarity), _FOUND_SQL), "simhash-found")
+        audited = pair(found, AUDIT).select("a", "b").distinct()
+        exact, got = audited.join(pair(found).select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
         if got >= RECALL * exact or width >= BLOCK:
             break
         width *= 2
         common.discard(found_at)
 
-    pair = lambda df: df.where(F.col("kind") == PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d").where("a <> b")
-    pairs, pairs_at = common.written(pair(found).groupBy("a", "b").agg(F.min("d").alias("d")), "simhash-pairs")
+    pairs, pairs_at = common.written(pair(found, PAIR, AUDIT).groupBy("a", "b").agg(F.min("d").alias("d")), "simhash-pairs")
     full = found.where(F.col("kind") == FULL).select(F.col("a").alias("id")).distinct()
     # first each node's nearest
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
@@ -348,7 +370,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         act = routed.join(full.withColumn("active", F.lit(True)), "id", "left")
         act = act.join(act.where("active").select("route", "shard", "block").distinct(), ["route", "shard", "block"], "left_semi")
         act = act.join(firsts.withColumnRenamed("component", "cls"), "id", "left").withColumns({"cls": F.coalesce("cls", "id"), "active": F.coalesce("active", F.lit(False))})
-        more = across(pair(in_shards(act).mapInArrow(_scan, _FOUND_SQL)))
+        more = across(pair(in_shards(act).mapInArrow(_scan(similarity), _FOUND_SQL)))
         rest, _ = common.written(rest.union(more).distinct(), "simhash-rest")
         missing = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct().join(involved, "doc_id", "left_anti")
         texts = texts.union(slim.join(missing, "doc_id", "left_semi")) if missing.take(1) else texts
