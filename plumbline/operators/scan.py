@@ -5,6 +5,8 @@ a scanner asks for it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,8 @@ def cursor_for_loops(units: DataFrame) -> DataFrame:
 
 def missing_instrumentation(units: DataFrame) -> DataFrame:
     t = masked()
-    none = t.rlike(r"\bbegin")
-    for m in INSTRUMENTS:
-        none = none & ~F.contains(t, F.lit(m))
-    return _sites(units, "missing_instrumentation", none)
+    marks = "|".join(re.escape(m) for m in INSTRUMENTS)
+    return _sites(units, "missing_instrumentation", t.rlike(r"\bbegin") & ~t.rlike(marks))
 
 
 def hardcoded_credentials(units: DataFrame) -> DataFrame:
@@ -128,9 +128,7 @@ def sensitive_synonyms(units: DataFrame) -> DataFrame:
     p = r"public\s+synonym\s+(" + _ID + r")\s+for\s+(" + _ID + ")"
     s, t = F.regexp_extract(masked(), p, 1), F.regexp_extract(masked(), p, 2)
     last = F.substring_index(t, ".", -1)
-    hot = F.lit(False)
-    for m in SENSITIVE:
-        hot = hot | F.contains(s, F.lit(m)) | F.contains(last, F.lit(m))
+    hot = F.concat_ws(" ", s, last).rlike("|".join(SENSITIVE))
     return _sites(units, "sensitive_public_synonym", (s != "") & hot, F.concat_ws(">", s, t))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import estate_queries, graph_queries, text_queries
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, text_queries, estate_queries)
 
 
 def queries() -> dict:

@@ -1,0 +1,241 @@
+"""A tolerant reader of PL/SQL: declarations, statements, expressions, calls and flow of values."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+
+from .project import _table
+
+TOKEN = re.compile(r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>[nN]?'(?:[^']|'')*(?:'|\Z))|(?P<number>\d+(?:\.\d+)?)|(?P<word>[A-Za-z_][A-Za-z0-9_$#]*|\"[^\"]*\")|(?P<space>\s+)|(?P<sign>:=|\|\||=>|<=|>=|<>|!=|\.\.|.)", re.S)
+
+
+def tokens(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, line, offset in bytes) of all tokens; joined, they are the text again."""
+    out, line, offset = [], 1, 0
+    for m in TOKEN.finditer(text or ""):
+        t = m.group(0)
+        out.append((m.lastgroup, t, line, offset))
+        line += t.count("\n")
+        offset += len(t.encode())
+    return out
+
+
+_DECL = re.compile(r"\b(package\s+body|package|procedure|function|trigger|type\s+body|type|cursor|view)\s+(?:\"?([A-Za-z0-9_$#]+)\"?\.)?\"?([A-Za-z0-9_$#]+)\"?", re.I)
+
+
+def blanked(text: str) -> str:
+    """The text with comments and the insides of strings as spaces, of the same length."""
+
+    def one(m: re.Match) -> str:
+        t = m.group(0)
+        if m.lastgroup == "comment":
+            return re.sub(r"[^\n]", " ", t)
+        if m.lastgroup == "string":
+            return t[0] + re.sub(r"[^\n]", " ", t[1:-1]) + t[-1] if len(t) > 1 else t
+        return t
+
+    return TOKEN.sub(one, text or "")
+
+
+def declarations(text: str) -> list[tuple[str, str | None, str, int]]:
+    """(kind, schema, name, line) of what a text declares, wherever it stands."""
+    t = blanked(text)
+    out = []
+    for m in _DECL.finditer(t):
+        before = t[: m.start()].rstrip().lower()
+        if before.endswith(("end", "drop", "alter", "on", "for")):
+            continue
+        out.append((re.sub(r"\s+", " ", m.group(1)).upper(), m.group(2) and m.group(2).upper(), m.group(3).upper(), t.count("\n", 0, m.start()) + 1))
+    return out
+
+
+def bodies(text: str) -> list[tuple[int, str, str]]:
+    """(line, kind, statement) of a body's statements, split at semicolons outside of strings and
+    parentheses; the words that open a control structure are statements of their own."""
+    t = blanked(text)
+    out, start, depth = [], 0, 0
+    source = text or ""
+
+    def add(a: int, b: int) -> None:
+        s = source[a:b].strip()
+        if s:
+            line = source.count("\n", 0, a + len(source[a:b]) - len(source[a:b].lstrip())) + 1
+            out.append((line, kind_of(s), s))
+
+    for i, c in enumerate(t):
+        depth += (c == "(") - (c == ")")
+        if c == ";" and depth <= 0:
+            add(start, i)
+            start, depth = i + 1, 0
+        elif depth <= 0:
+            m = re.match(r"\b(then|loop|begin|else|declare|exception)\b", t[i:], re.I) if not i or not (t[i - 1].isalnum() or t[i - 1] in "_$#.") else None
+            if m and not re.search(r"\bend\s*$", t[start:i], re.I):
+                add(start, i + m.end())
+                start = i + m.end()
+        if start > i:
+            continue
+    add(start, len(t))
+    return out
+
+
+def kind_of(s: str) -> str:
+    low = s.lower()
+    for kind, p in (
+        ("Null", r"null$"), ("If", r"(if|elsif)\b"), ("Case", r"case\b"), ("ForLoop", r"for\b"), ("WhileLoop", r"while\b"), ("Loop", r"loop$"), ("Return", r"return\b"), ("Raise", r"raise\b"), ("ExecuteImmediate", r"execute\s+immediate\b"),
+        ("Open", r"open\b"), ("Fetch", r"fetch\b"), ("Close", r"close\b"), ("Commit", r"commit\b"), ("Rollback", r"rollback\b"), ("Sql", r"(select|insert|update|delete|merge|with)\b"), ("Handler", r"when\b"),
+        ("Mark", r"(begin|else|declare|exception|end\b.*)$"), ("Assignment", r"[a-z_][\w$#.()\s]*:="), ("Call", r"[a-z_][\w$#.]*\s*(\(|$)"),
+    ):
+        if re.match(p, low, re.S):
+            return kind
+    return "Other"
+
+
+_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_$#]*(?:\.[A-Za-z_][A-Za-z0-9_$#]*)*)\s*\(")
+_NOT_CALLS = frozenset("if elsif while for in and or not exists values into select from where on using case when then return varchar2 number char raw set table as is cast count sum min max avg nvl decode to_char to_date to_number substr instr upper lower trim round coalesce".split())
+
+
+def calls(text: str) -> list[tuple[str, int]]:
+    """(callee, line) of calls with arguments, and of statements that are a name alone."""
+    t = blanked(text)
+    out = [(m.group(1).upper(), t.count("\n", 0, m.start()) + 1) for m in _CALL.finditer(t) if m.group(1).lower() not in _NOT_CALLS and not re.search(r"(procedure|function|cursor|type|table|into)\s+(\w+\.)?$", t[: m.start()], re.I)]
+    out += [(s.upper(), n) for n, k, s in bodies(text) if k == "Call" and re.fullmatch(r"[A-Za-z_][\w$#.]*", s)]
+    return sorted(set(out), key=lambda x: (x[1], x[0]))
+
+
+_LEVELS = (("or",), ("and",), ("=", "<>", "!=", "<", ">", "<=", ">="), ("+", "-", "||"), ("*", "/"))
+
+
+def expression(text: str, limit: int = 256) -> tuple:
+    """A tree of an expression: ('str'|'num'|'name'|'call'|'not'|'neg'|operator|'opaque', ...); nesting
+    deeper than the limit is opaque."""
+    toks = [(k, t) for k, t, _, _ in tokens(text) if k not in ("space", "comment")]
+    at = 0
+
+    def level(i: int, depth: int) -> tuple:
+        nonlocal at
+        if depth > limit:
+            at = len(toks)
+            return ("opaque", "too deep")
+        if i == len(_LEVELS):
+            return unary(depth)
+        left = level(i + 1, depth)
+        while at < len(toks) and toks[at][1].lower() in _LEVELS[i]:
+            op = toks[at][1].lower()
+            at += 1
+            left = (op, left, level(i + 1, depth))
+        return left
+
+    def unary(depth: int) -> tuple:
+        nonlocal at
+        if at >= len(toks):
+            return ("opaque", "")
+        k, t = toks[at]
+        at += 1
+        if t.lower() == "not":
+            return ("not", level(2, depth + 1))
+        if t == "-":
+            return ("neg", unary(depth + 1))
+        if t == "(":
+            inner = level(0, depth + 1)
+            if at < len(toks) and toks[at][1] == ")":
+                at += 1
+            return inner
+        if k == "string":
+            return ("str", t.strip("nN")[1:-1].replace("''", "'"))
+        if k == "number":
+            return ("num", t)
+        if k != "word":
+            return ("opaque", t)
+        name = t
+        while at + 1 < len(toks) and toks[at][1] == "." and toks[at + 1][0] == "word":
+            name += "." + toks[at + 1][1]
+            at += 2
+        if at < len(toks) and toks[at][1] == "(":
+            at += 1
+            args = []
+            while at < len(toks) and toks[at][1] != ")":
+                args.append(level(0, depth + 1))
+                if at < len(toks) and toks[at][1] == ",":
+                    at += 1
+                elif at < len(toks) and toks[at][1] != ")":
+                    at += 1
+            at += 1
+            return ("call", name.upper(), *args)
+        return ("name", name.upper())
+
+    return level(0, 0)
+
+
+def canonical(tree: tuple, schema: str) -> tuple:
+    """The tree with bare names qualified."""
+    if tree[0] == "name":
+        return ("name", tree[1] if "." in tree[1] else f"{schema.upper()}.{tree[1]}")
+    return tuple(canonical(x, schema) if isinstance(x, tuple) else x for x in tree)
+
+
+SANITISERS = frozenset(f"DBMS_ASSERT.{n}" for n in ("ENQUOTE_NAME", "ENQUOTE_LITERAL", "SIMPLE_SQL_NAME", "QUALIFIED_SQL_NAME", "SCHEMA_NAME", "SQL_OBJECT_NAME"))
+
+
+def flow(text: str, sources: dict[str, str], passes: int = 64) -> list[tuple[str, str, str, str]]:
+    """(name, kinds, cleansed by, shape) of the names a body assigns: which tainted sources reach them
+    and what sanitised parts did, to a fixed point. A body with no end in `passes` is unanalysable."""
+    moves = []
+    for _, kind, s in bodies(text):
+        m = re.match(r"\s*([A-Za-z_][\w$#.]*)\s*(?:\([^)]*\))?\s*:=(.*)$", s, re.S)
+        if kind == "Assignment" and m:
+            moves.append((m.group(1).upper(), expression(m.group(2))))
+    env: dict[str, tuple[frozenset, frozenset, str]] = {}
+    src = {k.upper(): v for k, v in sources.items()}
+
+    def walk(t: tuple) -> tuple[frozenset, frozenset, int, int]:
+        if t[0] == "name":
+            kinds, clean = (env[t[1]][0], env[t[1]][1]) if t[1] in env else (frozenset(), frozenset())
+            return kinds | ({src[t[1]]} if t[1] in src else frozenset()), clean, 0, 1
+        if t[0] == "str":
+            return frozenset(), frozenset(), 1, 0
+        if t[0] == "call" and t[1] in SANITISERS:
+            return frozenset(), frozenset({t[1]}), 0, 1
+        parts = [walk(x) for x in t[1:] if isinstance(x, tuple)]
+        return frozenset().union(*(p[0] for p in parts)), frozenset().union(*(p[1] for p in parts)), sum(p[2] for p in parts), sum(p[3] for p in parts) + (t[0] == "call")
+
+    for _ in range(passes):
+        before = dict(env)
+        for name, tree in moves:
+            kinds, clean, lits, holes = walk(tree)
+            shape = "Literal" if lits and not holes else "InterpolatedWithFix" if lits and holes else "Empty" if tree == ("str", "") else "FullyOpaque"
+            old = env.get(name, (frozenset(), frozenset(), shape))
+            env[name] = (old[0] | kinds, old[1] | clean, shape)
+        if env == before:
+            break
+    else:
+        return [("*", "Unanalyzable", "", "")]
+    return [(n, ",".join(sorted(k)), ",".join(sorted(c)), s) for n, (k, c, s) in sorted(env.items())]
+
+
+def recover(text: str, start: int) -> int:
+    """Where reading goes on after a fault: behind the next semicolon outside of strings, or at the end."""
+    t = blanked(text)
+    i = t.find(";", start)
+    return len(t) if i < 0 else i + 1
+
+
+def declared(units: DataFrame, key: str = "unit") -> DataFrame:
+    return _table(units, declarations, "kind string, schema string, name string, line long", key)
+
+
+def statements_of(units: DataFrame, key: str = "unit") -> DataFrame:
+    return _table(units, lambda t: [(i, *b) for i, b in enumerate(bodies(t), 1)], "ordinal long, line long, kind string, statement string", key)
+
+
+def called(units: DataFrame, key: str = "unit") -> DataFrame:
+    return _table(units, calls, "callee string, line long", key)
+
+
+def flows(units: DataFrame, sources: dict[str, str], key: str = "unit") -> DataFrame:
+    return _table(units, lambda t: flow(t, sources), "name string, kinds string, cleansed string, shape string", key)
+
+
+def tapes(units: DataFrame, key: str = "unit") -> DataFrame:
+    return _table(units, lambda t: [(i, *x) for i, x in enumerate(tokens(t))], "ordinal long, kind string, token string, line long, byte_offset long", key)
