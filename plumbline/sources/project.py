@@ -163,7 +163,7 @@ def preprocess(text: str, flags: dict) -> tuple[str, int, list[str]]:
                 continue
             live = all(s[0] for s in stack)
             kept.append(line[pos : m.start()] if live else "")
-            blank = blank or not live
+            blank = blank or (not live and bool(line[pos : m.start()].strip()))
             word, pos = m.group(1).lower(), m.end()
             if word in ("if", "elsif"):
                 stop = re.search(r"\$then\b", line[pos:], re.I)
