@@ -42,6 +42,8 @@ from . import textwords as T
 U = np.uint64
 MINHASHES = 6
 RADIUS, RADIUS_SHORT, SHORT = 38, 46, 20
+#: Shards, times least hashes, up to which their table is broadcast (some twelve bytes a row).
+BROADCAST_ROWS = 1_000_000
 #: Bytes of a sketch, and the share of equal ones from which a pair is verified. At a similarity of
 #: 0.8 the share has a standard deviation of 0.035 at most: 0.64 is over four and a half below.
 SKETCH, ALIKE = 128, 0.64
@@ -340,13 +342,19 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     nodes, nodes_at = common.written(nodes, "simhash-nodes")
     total = nodes.count()
     shards = max(1, -(-total // SHARD))
-    routed = nodes.select("id", "n", "s0", "s1", "sketch", F.posexplode("least").alias("route", "anchor")).withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)).cast("int"))
-    blocks = routed.groupBy("route", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    routed = routed.join(blocks, ["route", "shard"]).withColumn("own", own)
-    # a node is indexed in its own block and a guest in the earlier ones
-    routed = routed.select("route", "shard", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", "id", "n", "s0", "s1", "sketch", "anchor").withColumn("guest", (F.col("block") < F.col("own")).cast("int")).drop("own")
-    routed, routed_at = common.written(routed.repartition(n_parts, "route", "shard", "block").sortWithinPartitions("route", "shard", "block"), "simhash-routed")
+    anchors = nodes.select("id", F.posexplode("least").alias("route", "anchor")).withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)).cast("int"))
+    blocks, blocks_at = common.written(anchors.groupBy("route", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "simhash-blocks")
+    few = shards * MINHASHES <= BROADCAST_ROWS  # a row a shard
+
+    def routed(rows: DataFrame) -> DataFrame:
+        """Rows of nodes, once for each place where they are indexed or guests."""
+        r = rows.withColumn("x", F.explode(F.transform("least", lambda a, i: F.struct(i.alias("route"), a.alias("anchor"))))).drop("least").select("*", "x.route", "x.anchor").drop("x")
+        r = r.withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)).cast("int")).join(F.broadcast(blocks) if few else blocks, ["route", "shard"])
+        # a node is indexed in its own block and a guest in the earlier ones
+        r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        return r.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("guest", (F.col("block") < F.col("own")).cast("int")).drop("own")
+
+    vectors = nodes.select("id", "n", "s0", "s1", "sketch", "least")
 
     def in_shards(df: DataFrame) -> DataFrame:
         return df.repartition(n_parts, "route", "shard", "block").sortWithinPartitions("route", "shard", "block")
@@ -355,7 +363,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         return df.where(F.col("kind").isin(*(kinds or (PAIR,)))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d").where("a <> b")
 
     while True:
-        found, found_at = common.written(in_shards(routed).mapInArrow(_search(width, max(limit, width), similarity), _FOUND_SQL), "simhash-found")
+        found, found_at = common.written(in_shards(routed(vectors)).mapInArrow(_search(width, max(limit, width), similarity), _FOUND_SQL), "simhash-found")
         audited = pair(found, AUDIT).select("a", "b").distinct()
         exact, got = audited.join(pair(found).select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
         if got >= RECALL * exact or width >= BLOCK:
@@ -382,9 +390,11 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     n_full = full.count()
     if n_full:
         # beams that stayed full: exact, in the shards that hold such nodes, among other classes
-        act = routed.join(full.withColumn("active", F.lit(True)), "id", "left")
-        act = act.join(act.where("active").select("route", "shard", "block").distinct(), ["route", "shard", "block"], "left_semi")
-        act = act.join(firsts.withColumnRenamed("component", "cls"), "id", "left").withColumns({"cls": F.coalesce("cls", "id"), "active": F.coalesce("active", F.lit(False))})
+        places = ["route", "shard", "block"]
+        where = routed(nodes.select("id", "least").join(full, "id", "left_semi")).select(*places).distinct()
+        act = routed(vectors).join(where, places, "left_semi")
+        act = act.join(full.withColumn("active", F.lit(True)), "id", "left").join(firsts.withColumnRenamed("component", "cls"), "id", "left")
+        act = act.withColumns({"cls": F.coalesce("cls", "id"), "active": F.coalesce("active", F.lit(False))})
         more = across(pair(in_shards(act).mapInArrow(_scan(similarity), _FOUND_SQL)))
         rest, _ = common.written(rest.union(more).distinct(), "simhash-rest")
         missing = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct().join(involved, "doc_id", "left_anti")
@@ -397,7 +407,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     out = signed.select("doc_id", "t0", "t1", "n").join(node_of, ["t0", "t1"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
     out = out.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     out, _ = common.written(out.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id")), "simhash-out")
-    common.discard(nodes_at, routed_at, found_at, pairs_at, texts_at, links_at, firsts_at, more_at)
+    common.discard(nodes_at, blocks_at, found_at, pairs_at, texts_at, links_at, firsts_at, more_at)
     return out
 
 
