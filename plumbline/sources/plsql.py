@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import DataFrame
 
 from .project import _table
 
+# nesting of expressions is bounded by its own limit, at some frames a level
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 TOKEN = re.compile(r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>[nN]?'(?:[^']|'')*(?:'|\Z))|(?P<number>\d+(?:\.\d+)?)|(?P<word>[A-Za-z_][A-Za-z0-9_$#]*|\"[^\"]*\")|(?P<space>\s+)|(?P<sign>:=|\|\||=>|<=|>=|<>|!=|\.\.|.)", re.S)
 
 
