@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import plsql as R
+from ..sources import reader as R
 from ..sources import project as S
 from .tables import cut, table
 from .text_units import UNITS_SQL, units

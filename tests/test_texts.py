@@ -6,7 +6,7 @@ from plumbline.operators import joins as J
 from plumbline.operators import ledger as G
 from plumbline.operators import rules as R
 from plumbline.operators import scan as S
-from plumbline.sources import plsql as P
+from plumbline.sources import reader as P
 from plumbline.sources import project as J2
 
 
