@@ -109,6 +109,26 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+#: Bits of the set that `bits` makes: 16 MB at most, whatever the number of ids.
+BITS = 1 << 27
+
+
+def bits(ids: DataFrame, column: str) -> DataFrame:
+    """(word, mask) of a bit set that holds the ids: BITS / 64 rows at most, so it may be broadcast.
+    With more ids than bits it lets everything pass, and only spares less."""
+    at = ids.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS)).alias("p"))
+    return at.groupBy(F.expr("p div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__mask"))
+
+
+def with_hit(df: DataFrame, key, words: DataFrame) -> DataFrame:
+    """df and __hit: whether the bit set may hold the row's key; false is certain, a null key is false."""
+    at = F.pmod(F.xxhash64(key.cast("long")), F.lit(BITS))
+    df = df.withColumn("__at", F.when(key.isNotNull(), at)).withColumn("__word", F.expr("__at div 64"))
+    df = df.join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.expr("(__mask & shiftleft(1L, cast(__at % 64 as int))) <> 0"), F.lit(False))
+    return df.withColumn("__hit", hit).drop("__word", "__at", "__mask")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for every id of the links (a, b).
 

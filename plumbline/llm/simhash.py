@@ -376,7 +376,10 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     # first each node's nearest
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(full.select(F.col("id").alias("doc_id"))).distinct()
-    texts, texts_at = common.written(slim.join(involved, "doc_id", "left_semi"), "simhash-texts")
+    # a bit set, of bounded size, spares the shuffle of texts that no pair needs; the join is exact
+    involved, involved_at = common.written(involved, "simhash-involved")
+    may = common.with_hit(slim, F.col("doc_id"), common.bits(involved, "doc_id")).where("__hit").drop("__hit")
+    texts, texts_at = common.written(may.join(involved.hint("merge"), "doc_id", "left_semi"), "simhash-texts")
     links, links_at = common.written(_verified(texts, nearest, k, similarity), "simhash-links")
     firsts, firsts_at = common.written(components(links), "simhash-classes")
     cls = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c))
@@ -407,7 +410,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     out = signed.select("doc_id", "t0", "t1", "n").join(node_of, ["t0", "t1"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
     out = out.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     out, _ = common.written(out.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id")), "simhash-out")
-    common.discard(nodes_at, blocks_at, found_at, pairs_at, texts_at, links_at, firsts_at, more_at)
+    common.discard(nodes_at, blocks_at, involved_at, found_at, pairs_at, texts_at, links_at, firsts_at, more_at)
     return out
 
 
@@ -419,7 +422,11 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     """The rows of docs whose id is the smallest of its class, once each; rows without an id stay."""
     found = classes(docs, k, similarity, id_col, text_col)
     gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    # most rows are certain to stay without a join; texts of the others alone are shuffled
+    gone, _ = common.written(gone, "simhash-gone")
+    marked = common.with_hit(docs, F.col(id_col), common.bits(gone, "__gone"))
+    sure, unsure = marked.where("not __hit").drop("__hit"), marked.where("__hit").drop("__hit")
+    kept = sure.unionByName(unsure.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti"))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         kept = named.unionByName(kept.where(F.col(id_col).isNull()))
