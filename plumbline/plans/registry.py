@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import estate_queries, graph_queries, parsing_queries, text_queries
+from . import estate_queries, graph_queries, parsing_queries, render_queries, text_queries
 
-MODULES = (graph_queries, text_queries, estate_queries, parsing_queries)
+MODULES = (graph_queries, text_queries, estate_queries, parsing_queries, render_queries)
 
 
 def queries() -> dict:
