@@ -327,7 +327,8 @@ def _jaccard(k: int, similarity: float):
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_jaccard(k, similarity), "a long, b long")
+    # joined by merging at every size: texts are large, and pairs have no bound to broadcast them by
+    return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_jaccard(k, similarity), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 24, limit: int = 128, report: dict | None = None) -> DataFrame:
@@ -395,7 +396,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         # beams that stayed full: exact, in the shards that hold such nodes, among other classes
         places = ["route", "shard", "block"]
         where = routed(nodes.select("id", "least").join(full, "id", "left_semi")).select(*places).distinct()
-        act = routed(vectors).join(where, places, "left_semi")
+        act = routed(vectors).join(where.hint("merge"), places, "left_semi")
         act = act.join(full.withColumn("active", F.lit(True)), "id", "left").join(firsts.withColumnRenamed("component", "cls"), "id", "left")
         act = act.withColumns({"cls": F.coalesce("cls", "id"), "active": F.coalesce("active", F.lit(False))})
         more = across(pair(in_shards(act).mapInArrow(_scan(similarity), _FOUND_SQL)))
