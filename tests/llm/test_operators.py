@@ -422,3 +422,12 @@ def test_words_and_windows():
     _, count = w.shingles(5)
     assert count.tolist() == [0, 0, 1, 1, 2, 1]
     assert list(T.chunks(pa.array(["aaaa", "b", None, "cc"]), 4)) == [(0, 1), (1, 4)]
+
+
+def test_bit_set_has_no_false_negatives(spark):
+    ids = spark.range(0, 500).selectExpr("id * 7 as k")
+    df = spark.range(0, 4000).selectExpr("id", "'x' as __k").unionByName(spark.sql("select cast(null as long) as id, 'y' as __k"))
+    got = common.with_hit(df, df["id"], common.bits(ids, "k"))
+    assert got.columns == ["id", "__k", "__hit"]
+    hits = {r["id"] for r in got.where("__hit").collect()}
+    assert {7 * i for i in range(500)} <= hits and None not in hits and len(hits) < 520
