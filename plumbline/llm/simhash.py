@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,29 +307,57 @@ def _scan(similarity: float):
 
 def _jaccard(k: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            for s in range(0, n, 256):
-                part = b.slice(s, 256)
-                sets = []
-                for c in ("ta", "tb"):
-                    h, count = T.of(T.column(part, c)).shingles(k)
-                    cut = np.concatenate(([0], np.cumsum(count))).tolist()
-                    sets.append([np.unique(h[x:y]) for x, y in zip(cut, cut[1:])])
-                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], np.int64)
-                either = np.array([len(x) + len(y) for x, y in zip(*sets)], np.int64) - both
-                # Jaccard as a ratio of integers against the threshold as written
-                ok = both * 1_000_000 >= either * round(similarity * 1_000_000)
-                yield pa.RecordBatch.from_arrays([T.column(part, "a"), T.column(part, "b")], names=["a", "b"]).filter(pa.array(ok & (either > 0)))
+        for t in common.groups(batches, ["family", "bi", "bj"]):
+            t = t.combine_chunks()
+            pair = t.column("b").is_valid()
+            docs, links = t.filter(pc.invert(pair)), t.filter(pair)
+            if not docs.num_rows or not links.num_rows:
+                continue
+            sets: dict[int, list[np.ndarray]] = {}
+            text, ids = docs.column("text").combine_chunks(), docs.column("a").to_pylist()
+            for s, e in T.chunks(text):
+                h, count = T.of(text.slice(s, e - s)).shingles(k)
+                cut = np.concatenate(([0], np.cumsum(count))).tolist()
+                for i, x, y in zip(ids[s:e], cut, cut[1:]):
+                    sets.setdefault(i, []).append(np.unique(h[x:y]))  # rows of equal id are one document
+            got = []
+            for i, j in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+                for x in sets.get(i, ()):
+                    for y in sets.get(j, ()):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        either = len(x) + len(y) - both
+                        # Jaccard as a ratio of integers against the threshold as written
+                        if either and both * 1_000_000 >= either * round(similarity * 1_000_000):
+                            got.append((i, j))
+            if got:
+                a, b = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+#: Documents of a block in which pairs are verified; two blocks meet in a task.
+FAMILY = 128
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    # joined by merging at every size: texts are large, and pairs have no bound to broadcast them by
-    return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_jaccard(k, similarity), "a long, b long")
+    """The pairs that reach the similarity. Documents that candidates connect are a family; a family
+    meets in one task, a larger one in blocks that meet two by two, so that a text goes out once
+    for each block it has pairs with, and not once a pair."""
+    spark = texts.sparkSession
+    pairs, _ = common.written(pairs.select("a", "b"), "simhash-candidates")
+    family, _ = common.written(components(pairs), "simhash-families")
+    size = family.groupBy("component").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    p = pairs.join(family.select(F.col("id").alias("a"), "component"), "a").join(size, "component")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    p = p.select(F.col("component").alias("family"), F.least(block("a"), block("b")).alias("bi"), F.greatest(block("a"), block("b")).alias("bj"), "a", "b")
+    p, _ = common.written(p, "simhash-placed")
+    place = ["family", "bi", "bj"]
+    needs = p.select(*place, "a").union(p.select(*place, F.col("b").alias("a"))).distinct()
+    none = F.lit(None)
+    docs = needs.join(texts.select(F.col("doc_id").alias("a"), "text").hint("merge"), "a").select(*place, "a", none.cast("long").alias("b"), "text")
+    rows = docs.unionByName(p.withColumn("text", none.cast("string")))
+    return rows.repartition(common.shuffles(spark), *place).sortWithinPartitions(*place).mapInArrow(_jaccard(k, similarity), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = 24, limit: int = 128, report: dict | None = None) -> DataFrame:
