@@ -431,7 +431,11 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         more = across(pair(in_shards(act).mapInArrow(_scan(similarity), _FOUND_SQL)))
         rest, _ = common.written(rest.union(more).distinct(), "simhash-rest")
         missing = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct().join(involved, "doc_id", "left_anti")
-        texts = texts.union(slim.join(missing, "doc_id", "left_semi")) if missing.take(1) else texts
+        missing, _ = common.written(missing, "simhash-missing")
+        if missing.take(1):  # again without a shuffle of all texts
+            may = common.with_hit(slim, F.col("doc_id"), common.bits(missing, "doc_id")).where("__hit").drop("__hit")
+            more_texts, _ = common.written(may.join(missing.hint("merge"), "doc_id", "left_semi"), "simhash-texts")
+            texts = texts.unionByName(more_texts)
     more, more_at = common.written(_verified(texts, rest, k, similarity), "simhash-links")
     final, _ = common.written(components(links.union(more)), "simhash-classes")
     if report is not None:
