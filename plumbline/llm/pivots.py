@@ -6,6 +6,15 @@ lists are of pairs of pivots: two vectors meet in a list when they share two piv
 prefixes. Within a list, cosines in double precision verify the pairs. At cosine 0.95, the hardest
 case, 99.8 % of random pairs of 64 dimensions share two of eight of 256 pivots; closer ones all do.
 
+That doesn't hold inside a group dense enough to own pivots: its members' prefixes are the group's own
+pivots, in an order that is each member's noise. A vector with a cosine of DENSE or more to its nearest
+pivot is therefore not in the lists but compared with all vectors that the triangle inequality on
+angles leaves: those no further from its pivot than its cell's radius and the angle of a link. That
+is exact, and quadratic in a dense group. AUDIT vectors of each cell are compared with all others
+besides; where the lists missed a link of one, its cell is searched exactly too, and where that
+doesn't settle it, all cells are. Links between vectors that neither are dense nor were audited still
+rest on the lists.
+
 Equal vectors are one node with a weight, so groups of copies cost no pair. A pair that meets in
 several lists counts in one, that of its two smallest common pivots, so links can be summed by node
 and no pair leaves its task: what leaves is a count and one link to the list's own class for each
@@ -22,6 +31,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +40,9 @@ from . import common, vectors
 from . import textwords as T
 
 PIVOTS, PREFIX, BLOCK = 256, 8, 2048
+#: Cosine with the nearest pivot from which a vector is searched exactly; audited vectors of a cell;
+#: vectors that a task holds against a pass over all, and those of one cell compared at once.
+DENSE, AUDIT, HELD, OWN = 0.6, 4, 8192, 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,6 +118,76 @@ def _lists(kind: str, dim: int, pivots: int, least: float):
     return run
 
 
+def _passed(uri: str) -> Iterator[pa.RecordBatch]:
+    fs, at = common.filesystem(uri)
+    for f in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(at)) if x.path.endswith(".parquet")):
+        yield from pq.ParquetFile(fs.open_input_file(f)).iter_batches(BLOCK, columns=["id", "w", "raw", "home", "near"])
+
+
+def reached(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column of a matrix of links reaches; x and y are their ids."""
+    while True:
+        y2 = np.minimum(y, np.where(linked, x[:, None], common.NULL_ID).min(axis=0))
+        x2 = np.minimum(x, np.where(linked, y2[None], common.NULL_ID).min(axis=1))
+        if (x2 == x).all() and (y2 == y).all():
+            return x, y
+        x, y = x2, y2
+
+
+def _exactly(uri: str, kind: str, dim: int, points: np.ndarray, least: float, dense: float, cells: list[int], audit: bool):
+    """Links of the given rows with all rows at uri. A link of two dense rows is found at both ends, one
+    with a row that isn't dense counts at both here. For an audit, only the given rows' links count."""
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def rows(ids: np.ndarray, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(root)], schema=schema)
+
+    def scan(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, w, home, near = (t.column(c).to_numpy() for c in ("id", "w", "home", "near"))
+        x = unit(vectors.matrix(t.column("raw").combine_chunks(), kind, dim))
+        own = [np.flatnonzero(home == h) for h in np.unique(home)]
+        own = [o[a : a + OWN] for o in own for a in range(0, len(o), OWN)]
+        far = np.array([np.arccos(np.clip(near[o].min(), -1, 1)) for o in own]) + np.arccos(np.clip(least, -1, 1)) + 1e-6
+        bound, centre = np.cos(np.minimum(far, np.pi)) - 1e-9, points[[home[o[0]] for o in own]]
+        for b in _passed(uri):
+            y_ids, y_w = T.column(b, "id").to_numpy(), T.column(b, "w").to_numpy()
+            y = unit(vectors.matrix(T.column(b, "raw"), kind, dim))
+            sparse = ~((T.column(b, "near").to_numpy() >= dense) | np.isin(T.column(b, "home").to_numpy(), cells))
+            may = y @ centre.T >= bound
+            for g, o in enumerate(own):
+                j = np.flatnonzero(may[:, g])
+                if not len(j):
+                    continue
+                linked = x[o] @ y[j].T >= least
+                _, me, it = np.intersect1d(ids[o], y_ids[j], return_indices=True)
+                linked[me, it] = False
+                i, k = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                if not len(i):
+                    continue
+                linked, i, j = linked[np.ix_(i, k)], o[i], j[k]
+                links = linked @ y_w[j]
+                if audit:
+                    yield rows(ids[i], links, ids[i])
+                    continue
+                x_root, y_root = reached(linked, ids[i], y_ids[j])
+                yield rows(ids[i], links, x_root)
+                yield rows(y_ids[j], np.where(sparse[j], w[i] @ linked, 0), y_root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) >= HELD:
+                yield from scan(held)
+                held = []
+        if held:
+            yield from scan(held)
+
+    return run
+
+
 def near_duplicates(table: DataFrame, least: float = 0.95, pivots: int = PIVOTS, prefix: int = PREFIX, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector: how many others it is linked with
     directly (cosine of least or more), and the smallest id reachable by links."""
@@ -119,23 +203,52 @@ def near_duplicates(table: DataFrame, least: float = 0.95, pivots: int = PIVOTS,
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = unit(vectors.matrix(T.column(b, "raw"), kind, dim))
-            top = np.sort(prefixes(x, points, length), axis=1).astype(np.int16)
-            keys = np.stack([top[:, i].astype(np.int32) * m + top[:, j] for i, j in combinations(range(length), 2)], axis=1) if length > 1 else np.zeros((len(x), 1), np.int32)
+            near = prefixes(x, points, length)
+            home = near[:, 0].astype(np.int32)
+            top = np.sort(near, axis=1).astype(np.int16)
+            keys = np.stack([top[:, i].astype(np.int32) * m + top[:, j] for i, j in combinations(range(length), 2)], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([T.column(b, "id"), T.column(b, "w"), T.column(b, "raw"), pa.array([r.tobytes() for r in top], pa.binary()), lists], names=["id", "w", "raw", "top", "keys"])
+            cosine = np.einsum("ij,ij->i", x, points[home])
+            yield pa.RecordBatch.from_arrays([T.column(b, "id"), T.column(b, "w"), T.column(b, "raw"), pa.array([r.tobytes() for r in top], pa.binary()), lists, pa.array(home), pa.array(cosine)], names=["id", "w", "raw", "top", "keys", "home", "near"])
 
-    if length < 2:  # one vector, or none: nothing to link, and no pair of pivots to index by
-        linked = spark.createDataFrame([], _LINKED)
-    else:
-        index, index_at = common.written(nodes.select("id", "w", "raw").mapInArrow(describe, "id long, w long, raw binary, top binary, keys array<int>"), "pivot-index")
+    def search(index: DataFrame, index_at: str, cells: list[int]) -> tuple[DataFrame, str]:
+        """Links of all vectors: exact for dense ones and those of the cells, by lists between the others."""
+        dense = (F.col("near") >= DENSE) | F.col("home").isin(cells)
+        rest = index.where(~dense)
         # a row a list: pivots * (pivots - 1) / 2 at most
-        sizes = index.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        lists = index.select("id", "w", "raw", "top", F.explode("keys").alias("key")).join(F.broadcast(sizes), "key")
+        sizes = rest.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        lists = rest.select("id", "w", "raw", "top", F.explode("keys").alias("key")).join(F.broadcast(sizes), "key")
         lists = lists.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         lists = lists.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "w", "raw", "top")
-        parts = common.shuffles(spark)
         met = lists.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        linked, _ = common.written(met.mapInArrow(_lists(kind, dim, m, least), _LINKED), "pivot-links")
+        linked = met.mapInArrow(_lists(kind, dim, m, least), _LINKED)
+        # a cell's vectors go to several tasks, else the densest cell would be one task's work
+        own = index.where(dense).select("id", "w", "raw", "home", "near").repartition(parts, "home", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("home")
+        return common.written(linked.unionByName(own.mapInArrow(_exactly(index_at, kind, dim, points, least, DENSE, cells, False), _LINKED)), "pivot-links")
+
+    def missed(index: DataFrame, index_at: str, linked: DataFrame, cells: list[int]) -> list[int]:
+        """The cells of audited vectors some of whose links weren't found."""
+        rest = index.where((F.col("near") < DENSE) & ~F.col("home").isin(cells))
+        some = rest.groupBy("home", F.pmod(F.xxhash64("id"), F.lit(AUDIT)).alias("nth")).agg(F.min_by("id", F.xxhash64("id")).alias("id"))  # AUDIT rows a pivot at most
+        asked = rest.join(F.broadcast(some.select("id")), "id").select("id", "w", "raw", "home", "near").repartition(parts, "home").sortWithinPartitions("home")
+        true = asked.mapInArrow(_exactly(index_at, kind, dim, points, least, DENSE, cells, True), _LINKED).groupBy("id").agg(F.sum("links").alias("true"))
+        found = linked.join(F.broadcast(some.select("id")), "id").groupBy("id").agg(F.sum("links").alias("links"))
+        short = true.join(found, "id", "left").where(F.coalesce("links", F.lit(0)) < F.col("true"))
+        return [r["home"] for r in some.join(short, "id").select("home").distinct().collect()]
+
+    if length < 2:  # one vector, or none: nothing to link, and no pair of pivots to index by
+        linked = spark.createDataFrame([], _LINKED)
+    else:
+        parts = common.shuffles(spark)
+        index, index_at = common.written(nodes.select("id", "w", "raw").mapInArrow(describe, "id long, w long, raw binary, top binary, keys array<int>, home int, near double"), "pivot-index")
+        linked, linked_at = search(index, index_at, [])
+        cells = missed(index, index_at, linked, [])
+        if cells:
+            common.discard(linked_at)
+            linked, linked_at = search(index, index_at, cells)
+            if missed(index, index_at, linked, cells):
+                common.discard(linked_at)
+                linked, linked_at = search(index, index_at, list(range(len(points))))
         common.discard(index_at)
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     classes = common.components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -352,6 +352,34 @@ def test_vector_links(spark, monkeypatch, block):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(400, 407)) and got[None]["kept"] is False
 
 
+def hot_vectors(spark, n=2400):
+    """A third are noisy copies of one vector, at cosines of 0.97 or so; the others are random. Some
+    of the copies occur twice more, and the largest ids are equal copies of another vector."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x[: n // 3] = x[0] + 0.17 * x[: n // 3]
+    x[n - 300 : n - 200] = x[50:150]
+    x[n - 100 :] = x[n - 101]
+    x = x[rng.permutation(n)]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), x.astype(np.float64)
+
+
+def test_vector_links_in_a_hot_group(spark):
+    df, x = hot_vectors(spark)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = u @ u.T >= 0.95
+    np.fill_diagonal(a, False)
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == a.sum(axis=1).tolist()
+    low = np.arange(len(x))
+    while True:
+        new = np.array([min([low[i], *low[a[i]]]) for i in range(len(x))])
+        if (new == low).all():
+            break
+        low = new
+    assert [got[i]["component_id"] for i in range(len(x))] == low.tolist()
+
+
 def test_vectors_few_or_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_duplicates(empty).count() == 0 and quantise.nearest(empty, "vec_id >= 0").count() == 0
