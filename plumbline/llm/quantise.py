@@ -4,10 +4,14 @@ A vector is approximated by a sum of codewords, one of each of BOOKS codebooks t
 dimension. Codebooks are trained on a bounded sample (`sample` vectors, by a hash of their ids):
 k-means on the residuals, then alternately beam-search encoding and a joint least-squares update.
 Every vector of the table is encoded, by beam search, and stored with its codes, the norm of its
-approximation and itself. A query scores all codes of a partition by look-up tables (its products
-with the codewords) and the stored norms; the best `share` of each partition is reranked by
-their exact distances, and the exact bests of all partitions are merged. Queries pass the partitions
-in blocks of QUERIES; neither they nor the index come to the driver.
+approximation, the length of its residual and itself. A query scores all codes of a partition by look-up
+tables (its products with the codewords) and the stored norms; the best `share` of each partition is
+reranked by their exact distances. By the triangle inequality a vector is no nearer than its approximation
+less its residual; all others for which that leaves a chance against the k-th best are then computed
+exactly too, so a partition's bests are its true ones. The bests of all partitions are merged.
+Queries pass the partitions in blocks of QUERIES; neither they nor the index come to the driver.
+
+Equal vectors are encoded once, with their k + 1 smallest ids: no query can want more of them.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components
 take no part. Rows of equal id count once. Fewer candidates than asked for are all returned."""
@@ -117,11 +121,15 @@ def _search(uri: str, words: np.ndarray, kind: str, dim: int, k: int, share: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = words.reshape(-1, dim).astype(np.float32)
         size = words.shape[1]
+        unsure = 5e-7 * (dim + len(words)) * np.linalg.norm(words, axis=2).max(axis=1).sum()
 
         def scan(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            ids, norm = t.column("vec_id").to_numpy(), t.column("norm").to_numpy()
-            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.int64) + np.arange(words.shape[0]) * size
+            norm, residual = t.column("norm").to_numpy(), t.column("residual").to_numpy()
+            lists = t.column("ids").combine_chunks()
+            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            size_of = np.diff(at)
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int16).reshape(len(norm), -1).astype(np.int64) + np.arange(words.shape[0]) * size
             x = vectors.matrix(t.column("raw").combine_chunks(), kind, dim)
             for q in _blocks(uri):
                 q_ids, y = T.column(q, "vec_id").to_numpy(), vectors.matrix(T.column(q, "raw"), kind, dim)
@@ -129,13 +137,26 @@ def _search(uri: str, words: np.ndarray, kind: str, dim: int, k: int, share: flo
                 got = []
                 for r in range(len(q_ids)):
                     rough = norm - 2 * table[r][codes].sum(axis=1)
-                    rough[ids == q_ids[r]] = np.inf
-                    n = min(len(ids), max(SHORTLIST, int(share * len(ids))))
+                    n = min(len(norm), max(SHORTLIST, int(share * len(norm))))
                     near = np.argpartition(rough, n - 1)[:n]
-                    near = near[ids[near] != q_ids[r]]
-                    exact = np.sqrt(((x[near] - y[r]) ** 2).sum(axis=1))
-                    o = np.lexsort((ids[near], exact))[:k]
-                    got.append((np.full(len(o), q_ids[r]), ids[near[o]], exact[o]))
+                    exact = np.full(len(norm), np.inf)
+                    exact[near] = np.sqrt(((x[near] - y[r]) ** 2).sum(axis=1))
+                    # a node of several ids is several candidates, less the query's own
+                    o = near[np.argsort(exact[near], kind="stable")]
+                    enough = np.searchsorted(np.cumsum(size_of[o]), k + 1)
+                    kth = exact[o[enough]] if enough < len(o) else np.inf
+                    squared = y[r] @ y[r]
+                    # the scores' rounding in single precision; a score that overflowed is no number, and stays
+                    slack = unsure * np.sqrt(squared) + 1e-6 * norm + 1e-30
+                    least = np.sqrt(np.maximum(rough + squared - slack, 0)) - residual * (1 + 1e-6)
+                    more = np.flatnonzero(~(least > kth) & ~np.isfinite(exact))
+                    exact[more] = np.sqrt(((x[more] - y[r]) ** 2).sum(axis=1))
+                    nodes = np.flatnonzero(exact <= kth)
+                    own = np.concatenate([ids[at[i] : at[i + 1]] for i in nodes])
+                    exact = np.repeat(exact[nodes], size_of[nodes])
+                    own, exact = own[own != q_ids[r]], exact[own != q_ids[r]]
+                    o = np.lexsort((own, exact))[:k]
+                    got.append((np.full(len(o), q_ids[r]), own[o], exact[o]))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], schema=schema)
 
@@ -153,7 +174,7 @@ def _search(uri: str, words: np.ndarray, kind: str, dim: int, k: int, share: flo
 
 
 def nearest(table: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every vector for which the condition
+    """(query_id, rank, vec_id, score): the k nearest of every vector for which the condition
     is_query (on vec_id) holds, by Euclidean distance, itself excluded, ties to the smaller id."""
     spark = table.sparkSession
     rows, kind, dim = vectors.prepared(table, id_col, vec_col)
@@ -167,14 +188,18 @@ def nearest(table: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, share
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Books(words)
         for b in batches:
-            codes = own.encode(vectors.matrix(T.column(b, "raw"), kind, dim))
+            x = vectors.matrix(T.column(b, "raw"), kind, dim)
+            codes = own.encode(x)
             near = own.approximate(codes)
-            yield pa.RecordBatch.from_arrays([T.column(b, "vec_id"), T.column(b, "raw"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.einsum("ij,ij->i", near, near).astype(np.float32))], names=["vec_id", "raw", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([T.column(b, "ids"), T.column(b, "raw"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.einsum("ij,ij->i", near, near).astype(np.float32)), pa.array(np.linalg.norm(x - near, axis=1))], names=["ids", "raw", "codes", "norm", "residual"])
 
-    index, _ = common.written(rows.mapInArrow(encode, "vec_id long, raw binary, codes binary, norm float"), "quantised")
+    # ranked before they are gathered: of many copies, k + 1 ids are all that is held
+    nth = Window.partitionBy("raw").orderBy("vec_id")
+    nodes = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1).groupBy("raw").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    index, _ = common.written(nodes.select("ids", "raw").mapInArrow(encode, "ids array<long>, raw binary, codes binary, norm float, residual double"), "quantised")
     _, asked = common.written(rows.where(is_query), "queries")
     # partitions of the index of HELD vectors or so, so that each query's bests of a partition are few
     parts = max(1, min(common.shuffles(spark), -(-index.count() // 4096)))
-    found = index.repartition(parts, "vec_id").mapInArrow(_search(asked, words, kind, dim, k, share), "query_id long, vec_id long, score double")
+    found = index.repartition(parts, "raw").mapInArrow(_search(asked, words, kind, dim, k, share), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -404,6 +404,19 @@ def test_nearest(spark):
     assert hit >= 0.9 * n and not {r["query_id"] for r in got} & {400, 401, 402, 403, 404, 405, 406}
 
 
+def test_nearest_in_a_hot_group(spark):
+    df, x = hot_vectors(spark)
+    got = {}
+    for r in quantise.nearest(df, "vec_id % 40 = 0").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, len(x), 40))
+    for q, own in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(x)), d))[:10]
+        assert sorted(own) == [(n + 1, i, d[i]) for n, i in enumerate(want.tolist())]
+
+
 # 3: licenses
 
 
