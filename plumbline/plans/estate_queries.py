@@ -119,7 +119,7 @@ def rename_pairs(s, d):
     o = table(s, d, "orders")
     k = F.col("o_orderkey")
     hints = o.select(k.alias("seq"), F.when(k % 5 == 0, "explicit").when(k % 5 == 1, "persistent").otherwise("git").alias("source"), F.concat(F.lit("a"), k % 97).alias("old_id"), F.concat(F.lit("b"), k % 89).alias("new_id"), (k % 100).alias("similarity"))
-    return J.rename_pairs(hints.select("old_id"), hints.select("new_id"), hints.where("seq < 400"))
+    return J.rename_pairs(hints.select("old_id"), hints.select("new_id"), hints)
 
 
 # catalog and privileges

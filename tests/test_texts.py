@@ -91,6 +91,23 @@ def test_rename_pairs_use_each_end_once(spark):
     assert got == [("a", "y"), ("b", "x")]
 
 
+def test_rename_pairs_takes_all_orders(spark):
+    from plumbline.plans import estate_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    sources = ("explicit", "persistent", "git")
+    keys = [r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect()]
+    old, new, want = set(), set(), []
+    for rank, k in sorted((min(k % 5, 2), k) for k in keys):
+        a, b = f"a{k % 97}", f"b{k % 89}"
+        if (rank < 2 or k % 100 >= 70) and a not in old and b not in new:
+            old.add(a)
+            new.add(b)
+            want.append((a, b, sources[rank]))
+    got = [(r["old_id"], r["new_id"], r["source"]) for r in Q.rename_pairs(spark, d).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_ledger(spark):
     import hashlib
 
