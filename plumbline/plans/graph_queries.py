@@ -68,8 +68,7 @@ def strong_components(s, d):
 
 
 def recompile_order(s, d):
-    n = C.nodes(s, d).where(F.col("identity_kind").isin("region", "nation", "supplier"))
-    return V.recompile_order(C.edges(s, d), n.select("node_id"))
+    return V.recompile_order(C.edges(s, d), C.nodes(s, d).select("node_id"))
 
 
 def recompile_leftovers(s, d):

@@ -91,6 +91,17 @@ def test_recompile_order_and_leftovers(spark):
         assert sorted((r["node_id"], r["position"]) for r in got) == want
 
 
+def test_recompile_order_takes_all_nodes(spark):
+    from plumbline.plans import carriers as C
+    from plumbline.plans import graph_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    at = {r["node_id"]: r["position"] for r in Q.recompile_order(spark, d).collect()}
+    assert set(at) == {r["node_id"] for r in C.nodes(spark, d).collect()}
+    assert sorted(at.values()) == list(range(1, len(at) + 1))
+    assert all(at[r["src"]] > at[r["dst"]] for r in C.edges(spark, d).where("src <> dst").collect())
+
+
 def test_chains(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "t"), ("c", "d"), ("d", "c"), ("r", None)] + [(f"x{i}", f"x{i + 1}") for i in range(12)], "name string, target string")
     got = {r["name"]: (r["target"], r["outcome"]) for r in V.follow(links, links.select("name")).collect()}
