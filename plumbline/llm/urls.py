@@ -3,12 +3,12 @@
 A list is a log of dated events: from `day` on, `action` ('block' or 'allow') holds for `entry`, or,
 with 'remove', nothing does. Events become validity intervals: an entry's state lasts until its next
 event (events of one entry and day: the last in the order allow, block, remove counts). An entry is
-a domain, which covers its subdomains, or a host with the first part of a path. A capture is judged
+a domain, which covers its subdomains, alone or with the first parts of a path. A capture is judged
 by the state of the list on the day it was fetched: of the entries that cover it and are active
 then, the longest decides.
 
-Built-in functions only. A capture has as many keys as its host has labels, and one more; the join
-is by key, with the interval as a further condition. The list is broadcast if it has BROADCAST_ROWS
+Built-in functions only. A capture has a key for each suffix of its host, alone and with each prefix of
+its path that is no deeper than the deepest entry of the list; the join is by key, with the interval as a further condition. The list is broadcast if it has BROADCAST_ROWS
 at most (it is counted); a longer one is joined by shuffle, with captures spread over SALT parts of
 each key and the list's rows repeated in each, so that a host with a third of all captures is no
 hot key.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS, SALT = 200_000, 32
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-_PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+_PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#][^?#]*)"
 
 
 def host(url):
@@ -32,9 +32,10 @@ def host(url):
     return F.when(h != "", h)
 
 
-def first_part(url):
+def path_parts(url, depth: int):
+    """The first parts of a path, depth at most; none of a path that is empty or begins with a slash."""
     p = F.regexp_extract(F.lower(url), _PATH, 1)
-    return F.when(p != "", p)
+    return F.when(p == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(p, "/"), 1, depth))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -54,8 +55,10 @@ def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_c
     c = c.withColumn("host", host(F.col("url")))
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    part = first_part(F.col("url"))
-    keys = F.array_compact(F.concat(domains, F.array(F.when(part.isNotNull(), F.concat_ws("/", "host", part)))))
+    depth = listed.agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 0
+    parts = path_parts(F.col("url"), depth)
+    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(domains, F.flatten(F.transform(domains, lambda h: F.transform(paths, lambda p: F.concat_ws("/", h, p)))))
     keyed = c.where("host is not null and day is not null").select("page_id", "url", "day", F.explode(keys).alias("entry"))
     on = ["entry"]
     if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, common, licenses, mph, packing, pivots, pretokens, quality, quantise, simhash, substring, tokenfile, urls
 from plumbline.llm import textwords as T
@@ -472,3 +473,12 @@ def test_bit_set_has_no_false_negatives(spark):
     assert got.columns == ["id", "__k", "__hit"]
     hits = {r["id"] for r in got.where("__hit").collect()}
     assert {7 * i for i in range(500)} <= hits and None not in hits and len(hits) < 520
+
+
+def test_url_paths_of_any_depth_and_parents(spark):
+    events = spark.createDataFrame([("x.org/a/b", "block", "2024-01-01"), ("bad.com/p", "block", "2024-01-01")], "entry string, action string, day string").withColumn("day", F.to_date("day"))
+    pages = ["https://x.org/a/b/c?q", "https://x.org/a/bc", "https://x.org/a", "http://www.bad.com/p", "http://bad.com/p/q", "http://bad.com/q"]
+    df = spark.createDataFrame([(i, u, "2024-01-05") for i, u in enumerate(pages)], "page_id long, url string, day string").withColumn("day", F.to_date("day"))
+    got = {r["page_id"]: (r["decision"], r["entry"]) for r in urls.judge(df, events).collect()}
+    a, b, none = ("block", "x.org/a/b"), ("block", "bad.com/p"), ("none", None)
+    assert got == {0: a, 1: none, 2: none, 3: b, 4: b, 5: none}
