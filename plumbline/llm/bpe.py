@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in two tiers.
 
 A text is split into pre-tokens by the vocabulary's pattern, each match apart. A minimal perfect
-hash finds the pre-tokens that are whole entries of the vocabulary. Any other is merged from its
+hash finds the entry that a pre-token could be as a whole, and their bytes are compared. Any other is merged from its
 bytes: a heap holds the ranks of neighbouring pieces, a doubly linked list the pieces; the lowest
 rank, leftmost first, is merged until no neighbours form an entry. Equal pre-tokens are merged once
 a worker (the cache is bounded). Decoding joins the entries of the ids.
@@ -57,6 +57,10 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _keys(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+
+
 class ByteCoder:
     def __init__(self, path: str) -> None:
         self.ranks = load_ranks(path)
@@ -69,25 +73,29 @@ class ByteCoder:
                 whole.append((k.decode("utf-8"), v))
             except UnicodeDecodeError:  # part of a character: never a whole pre-token
                 pass
-        s, c, off = pretokens.codepoints(pa.array([w for w, _ in whole], pa.string()))
-        keys = pretokens.hashes(c, off[:-1], off[1:])
+        keys = _keys([w.encode() for w, _ in whole])
         self.mph = mph.build(keys)
-        slot = self.mph.slot(keys)
-        self.print, self.id = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int32)
-        self.print[slot], self.id[slot] = mph.fingerprint(keys), [v for _, v in whole]
+        self.id = np.zeros(len(keys), np.int32)
+        self.id[self.mph.slot(keys)] = [v for _, v in whole]
         self.cache = pretokens.Cache(self._encode)
         self.decimal = [str(i) for i in range(len(self.entry))]
 
-    def _encode(self, keys: np.ndarray, words: list[str]) -> list[list[int]]:
-        slot = self.mph.slot(keys)
-        found, ids = (self.print[slot] == mph.fingerprint(keys)).tolist(), self.id[slot].tolist()
-        return [[i] if f else merge(w.encode("utf-8", "surrogatepass"), self.ranks) for f, i, w in zip(found, ids, words)]
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids = self.id[self.mph.slot(_keys(raw))].tolist()
+        return [[i] if self.entry[i] == w else merge(w, self.ranks) for w, i in zip(raw, ids)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin and the end)."""
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s, c, off = pretokens.codepoints(texts)
         return self.cache.ids(s, c, off, *pretokens.split(c, off, False))
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the end)."""
+        rows = texts.to_pylist()
+        if any(x and len(x) > pretokens.PIECE for x in rows):
+            return pretokens.in_pieces([pretokens.pieces(x or "") for x in rows], self._plain)
+        return self._plain(texts)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.entry.__getitem__, ids))
 

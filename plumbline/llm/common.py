@@ -3,7 +3,10 @@ intermediate tables, side files between passes and connected components."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +22,16 @@ from .. import ship
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; texts differ widely in length.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-NULL_ID = np.int64(2**63 - 1)
+#: The largest id there can be; no id stands for a missing one.
+TOP_ID = np.int64(2**63 - 1)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as it takes to be no column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def tune(spark: SparkSession) -> None:
@@ -39,17 +51,39 @@ def shuffles(spark: SparkSession) -> int:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder all executors share, as a URI: the one in spark.checkpoint.dir; where that is
-    unset (tests, local mode) a temporary one of our own."""
+    """The folder all executors share, as a URI: the one in spark.checkpoint.dir. Where that is unset, a
+    temporary one in local mode (tests); on a cluster, whose executors would each write to a disk of
+    their own, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
 
 
+#: Places in the shared folder that lazily read results may still need; they go when the driver ends.
+_placed: set[str] = set()
+
+
 def place(spark: SparkSession, what: str) -> str:
-    return f"{shared(spark).rstrip('/')}/plumbline/{what}-{uuid.uuid4().hex[:12]}"
+    if not _placed:
+        atexit.register(tidy)
+    at = f"{shared(spark).rstrip('/')}/plumbline/{what}-{uuid.uuid4().hex[:12]}"
+    _placed.add(at)
+    return at
+
+
+def tidy() -> None:
+    """Delete all intermediate tables of this driver. To be called once no result of theirs is to be read again."""
+    for at in list(_placed):
+        try:
+            discard(at)
+        except OSError:
+            pass
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -61,6 +95,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def discard(*uris: str) -> None:
     for uri in uris:
+        _placed.discard(uri)
         fs, at = filesystem(uri)
         if fs.get_file_info(at).type != pafs.FileType.NotFound:
             fs.delete_dir(at)
@@ -75,14 +110,14 @@ def written(df: DataFrame, what: str, by: list[str] | None = None) -> tuple[Data
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
-def side_tables(uri: str, key: str, value: int) -> pa.Table | None:
-    """The rows written for one value of a partitioning key; None if there are none."""
+def side_tables(uri: str, key: str, value: int, filters: list | None = None) -> pa.Table | None:
+    """The rows written for one value of a partitioning key, or those of them that filters let pass; None if there are none."""
     fs, at = filesystem(uri)
     at = f"{at}/{key}={value}"
     if fs.get_file_info(at).type == pafs.FileType.NotFound:
         return None
     files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
-    parts = [pq.ParquetFile(fs.open_input_file(f)).read() for f in files]
+    parts = [pq.read_table(f, filesystem=fs, filters=filters, partitioning=None) for f in files]
     return pa.concat_tables(parts) if parts else None
 
 
@@ -120,19 +155,47 @@ def bits(ids: DataFrame, column: str) -> DataFrame:
     return at.groupBy(F.expr("p div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__mask"))
 
 
-def with_hit(df: DataFrame, key, words: DataFrame) -> DataFrame:
-    """df and __hit: whether the bit set may hold the row's key; false is certain, a null key is false."""
-    at = F.pmod(F.xxhash64(key.cast("long")), F.lit(BITS))
-    df = df.withColumn("__at", F.when(key.isNotNull(), at)).withColumn("__word", F.expr("__at div 64"))
-    df = df.join(F.broadcast(words), "__word", "left")
-    hit = F.coalesce(F.expr("(__mask & shiftleft(1L, cast(__at % 64 as int))) <> 0"), F.lit(False))
-    return df.withColumn("__hit", hit).drop("__word", "__at", "__mask")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def with_hit(df: DataFrame, key: str, words: DataFrame, name: str) -> DataFrame:
+    """df and a column more, whether the bit set may hold the row's key; false is certain, a null key is false."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
+    at, word, mask = (free(df, c) for c in ("__at", "__word", "__mask"))
+    df = df.withColumn(at, F.when(F.col(key).isNotNull(), place)).withColumn(word, F.expr(f"{at} div 64"))
+    df = df.join(F.broadcast(words.toDF(word, mask)), word, "left")
+    hit = F.coalesce(F.expr(f"({mask} & shiftleft(1L, cast({at} % 64 as int))) <> 0"), F.lit(False))
+    return df.withColumn(name, hit).drop(word, at, mask)
+
+
+#: Links up to which one task finds their components; it holds some forty bytes a link.
+TASK_LINKS = 1_000_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(c) for c in zip(*held))
+    ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = back[: len(a)], back[len(a) :]
+    least = np.arange(len(ids))
+    while True:  # the smaller of two roots to both ends and both roots, then straight to the root
+        low = np.minimum(least[i], least[j])
+        new = least.copy()
+        for k in (i, j, least[i], least[j]):
+            np.minimum.at(new, k, low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    for s in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 100_000]), pa.array(ids[least[s : s + 100_000]])], names=["id", "component"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id of the links (a, b).
 
-    Alternates large-star and small-star steps, which keep the components and end in stars
+    Up to TASK_LINKS links (they are counted) go to one task. Beyond, alternates large-star and small-star steps, which keep the components and end in stars
     around the smallest ids. Each step is a minimum by node, combined before its shuffle, and a
     join; each is written, so that a lost executor costs one step. Links of a node with itself
     and repeated links change nothing; links with a null end are none."""
@@ -154,8 +217,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, at = written(e, "links")
     seen = mark(e)
+    if 0 < seen[0] <= TASK_LINKS:
+        return e.coalesce(1).mapInArrow(_stars, "id long, component long")
     if seen[0]:
-        for _ in range(rounds):
+        while True:  # ends: each round that isn't the last moves some link to a smaller end
             large, mid = written(step(e, True), "links")
             e2, to = written(step(large, False), "links")
             now = mark(e2)
@@ -164,6 +229,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             if now == seen:
                 break
             seen = now
-        else:
-            raise RuntimeError("components: more rounds than any chain of this length needs")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

@@ -127,8 +127,8 @@ def _passed(uri: str) -> Iterator[pa.RecordBatch]:
 def reached(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id that each row and column of a matrix of links reaches; x and y are their ids."""
     while True:
-        y2 = np.minimum(y, np.where(linked, x[:, None], common.NULL_ID).min(axis=0))
-        x2 = np.minimum(x, np.where(linked, y2[None], common.NULL_ID).min(axis=1))
+        y2 = np.minimum(y, np.where(linked, x[:, None], common.TOP_ID).min(axis=0))
+        x2 = np.minimum(x, np.where(linked, y2[None], common.TOP_ID).min(axis=1))
         if (x2 == x).all() and (y2 == y).all():
             return x, y
         x, y = x2, y2

@@ -1,12 +1,13 @@
 """Pre-tokens of many texts at once, by array operations on code points, and a cache of their ids.
 
 Both vocabularies split a text by a pattern before any merges, so equal pre-tokens have equal ids:
-each distinct one is encoded once a worker (the cache is bounded), all others are looked up by a
-64-bit hash."""
+each distinct one is encoded once a worker (the cache is bounded), all others are looked up by their
+characters."""
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -16,10 +17,11 @@ import regex
 
 from . import textwords as T
 
-U = np.uint64
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Distinct pre-tokens kept by a worker; then the cache starts afresh.
-KEPT = 600_000
+KEPT, KEPT_BYTES = 600_000, 48 << 20
+#: Characters of a text, or of texts, encoded at once.
+PIECE = 2 << 20
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -114,27 +116,41 @@ def split(c: np.ndarray, off: np.ndarray, words_only: bool) -> tuple[np.ndarray,
     return start, stop
 
 
-def hashes(c: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    p, q = T.powers(len(c) + 1)
-    total = np.zeros(len(c) + 1, U)
-    np.cumsum((c.astype(U) + U(1)) * p[: len(c)], out=total[1:])
-    return T.mix((total[stop] - total[start]) * q[start])
+def distinct(c: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of each distinct slice, one place; of each slice, the number of its like). Hashes bring equal
+    slices together, and every slice is compared with the one it is taken for."""
+    top = int(c.max())
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    data = np.ascontiguousarray(c.astype(f"<u{width}")).view(np.uint8)
+    at, size = start * width, (stop - start) * width
+    _, first, back = np.unique(T.hashed(data, at, size), return_index=True, return_inverse=True)
+    like = first[back]
+    odd = np.flatnonzero((size != size[like]) | ~T.equal(data, at, at[like], np.minimum(size, size[like])))
+    if len(odd):  # equal hashes of different slices
+        more: dict[bytes, int] = {}
+        for i in odd.tolist():
+            back[i] = len(first) + more.setdefault(bytes(data[at[i] : at[i] + size[i]]), len(more))
+        fresh = np.unique(back[odd], return_index=True)[1]
+        first = np.concatenate([first, odd[fresh]])
+    return first, back
 
 
 class Cache:
-    """Ids of pre-tokens by hash. encode: ids of each of a list of pre-tokens (hashes, strings)."""
+    """Ids of pre-tokens by the pre-tokens themselves. encode: ids of each of a list of them."""
 
-    def __init__(self, encode: Callable[[np.ndarray, list[str]], list]) -> None:
+    def __init__(self, encode: Callable[[list[str]], list]) -> None:
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
+        self.held = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.rows = 0
 
-    def _add(self, rows: list, keys: list[int]) -> None:
-        n, k = len(self.known), len(rows)
+    def _add(self, rows: list, keys: list[str]) -> range:
+        n, k = self.rows, len(rows)
         sizes = np.fromiter(map(len, rows), np.int64, k)
         total = int(sizes.sum())
         while len(self.pool) < self.used + total:
@@ -145,28 +161,80 @@ class Cache:
         self.size[n : n + k] = sizes
         self.first[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        self.rows += k
+        self.held += sum(map(len, keys))
         self.known.update(zip(keys, range(n, n + k)))
+        return range(n, n + k)
 
-    def ids(self, s: str, c: np.ndarray, off: np.ndarray, start: np.ndarray, stop: np.ndarray, chars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, s: str, c: np.ndarray, off: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens in order, where each text's begin and the end). s: the characters of c."""
-        if len(self.known) > KEPT:
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        if len(self.known) > KEPT or self.held > KEPT_BYTES or self.used > KEPT_BYTES:
             self.clear()
-        h, at, back = np.unique(hashes(c, start, stop), return_index=True, return_inverse=True)
-        keys = h.tolist()
+        first, back = distinct(c, start, stop)
+        keys = [s[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist())]
         have = [self.known.get(k, -1) for k in keys]
         new = [i for i, v in enumerate(have) if v < 0]
         if new:
-            a, b = start[at[new]].tolist(), stop[at[new]].tolist()
-            self._add(self.encode(h[new], [s[i:j] for i, j in zip(a, b)]), [keys[i] for i in new])
-            for i in new:
-                have[i] = self.known[keys[i]]
-        row = np.array(have, np.int64)[back] if len(keys) else np.zeros(0, np.int64)
+            fresh = [keys[i] for i in new]
+            for i, v in zip(new, self._add(self.encode(fresh), fresh)):
+                have[i] = v
+        row = np.array(have, np.int64)[back]
         size = self.size[row]
         end = np.concatenate(([0], np.cumsum(size)))
-        flat = self.pool[np.repeat(self.first[row] - end[:-1], size) + np.arange(end[-1])] if len(row) else np.zeros(0, np.int32)
+        flat = self.pool[np.repeat(self.first[row] - end[:-1], size) + np.arange(end[-1])]
         return flat, end[np.searchsorted(start, off)]
 
 
+_BREAK = re.compile("(?<=[^{0}])[{0}]".format("".join(map(chr, _WHITE))))
+
+
+def pieces(text: str, limit: int = 0) -> list[str]:
+    """A long text in pieces that begin where white space does: there both vocabularies' patterns
+    begin a match, whatever came before."""
+    limit = limit or PIECE
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _BREAK.search(text, at + limit)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+def in_pieces(parts: list[list], encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's begin and the end) of texts given as lists of strings, and
+    of single ids that stand for themselves. Strings are encoded PIECE characters or so at a time."""
+    got: list[list[np.ndarray]] = [[] for _ in parts]
+    held: list[tuple[int, int, str]] = []
+
+    def flush() -> None:
+        if held:
+            ids, cut = encode(pa.array([s for _, _, s in held], pa.large_string()))
+            for (i, k, _), a, b in zip(held, cut.tolist(), cut[1:].tolist()):
+                got[i][k] = ids[a:b]
+            held.clear()
+
+    size = 0
+    for i, p in enumerate(parts):
+        for x in p:
+            if isinstance(x, int):
+                got[i].append(np.array([x], np.int32))
+                continue
+            got[i].append(np.zeros(0, np.int32))
+            held.append((i, len(got[i]) - 1, x))
+            size += len(x)
+            if size > PIECE:
+                flush()
+                size = 0
+    flush()
+    cut = np.concatenate(([0], np.cumsum([sum(map(len, g)) for g in got]))).astype(np.int64)
+    flat = [a for g in got for a in g]
+    return np.concatenate(flat) if flat else np.zeros(0, np.int32), cut
+
+
 def _byte_alphabet() -> dict[int, int]:
     """The printable character that byte-level models write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -178,7 +246,8 @@ class WordCoder:
     """Ids by the tokenizers library for a vocabulary that lower-cases and drops white space.
 
     Every distinct word's merges are the library's, by its model; texts with a character whose class or case is
-    not settled among Unicode versions are encoded by it as a whole."""
+    not settled among Unicode versions are encoded by it as a whole, long ones in pieces. The strings of
+    its special tokens in a text are these tokens, as the library takes them by default."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -187,12 +256,24 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         model, alphabet = self.library.model, _byte_alphabet()
-        self.cache = Cache(lambda _, words: [[t.id for t in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet))] for w in words])
-
-    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin and the end); end: id after each text."""
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        for t in self.library.get_added_tokens_decoder().values():
+            if t.normalized or t.lstrip or t.rstrip or t.single_word:
+                raise ValueError(f"special token with options: {t.content}")
+        # the leftmost one counts, the longest of those
+        self.between = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        self.cache = Cache(lambda words: [[t.id for t in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet))] for w in words])
+
+    def _parts(self, text: str) -> list:
+        out, at = [], 0
+        for m in self.between.finditer(text):
+            out += [*pieces(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return [*out, *pieces(text[at:])]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without special tokens."""
         s, c, off = codepoints(texts)
         low, settled = lower()
         whole: dict[int, list[int]] = {}
@@ -216,6 +297,15 @@ class WordCoder:
         if whole:
             parts = [np.array(whole[i], np.int32) if i in whole else ids[cut[i] : cut[i + 1]] for i in range(len(off) - 1)]
             ids, cut = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, cut
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the end); end: id after each text."""
+        rows = texts.to_pylist()
+        if any(x and (len(x) > PIECE or any(t in x for t in self.special)) for x in rows):
+            ids, cut = in_pieces([self._parts(x or "") for x in rows], self._plain)
+        else:
+            ids, cut = self._plain(texts)
         if end is None:
             return ids, cut
         to = cut + np.arange(len(cut))

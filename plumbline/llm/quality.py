@@ -55,10 +55,12 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[first[1:] - 1] = True
     size = np.where(last, w.off[1:][text] - start, stop - start - 1)
     end = start + size
-    total = np.zeros((8, len(data) + 1), np.int32)
+    of = np.empty((8, len(start)))
+    total = np.zeros(len(data) + 1, np.int32)
     for k in range(8):
-        np.cumsum(_KINDS[k][data], out=total[k, 1:])
-    of = (total[:, end] - total[:, start]).astype(np.float64)
+        np.cumsum(_KINDS[k][data], out=total[1:])
+        of[k] = total[end] - total[start]
+    del total
     # words by line
     a, z = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
     words = (z - a).astype(np.float64)
@@ -69,15 +71,15 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marked = np.concatenate(([0], np.cumsum(_KINDS[3][tail]))).astype(np.float64)
     alone = np.concatenate(([0], np.cumsum(((w.end - w.start) == 1)))).astype(np.float64)
     # equal words next to each other, and lines that occur again in their text
-    same = np.zeros(len(w.hash) + 1)
-    if len(w.hash) > 1:
-        same[2:] = np.cumsum(w.hash[1:] == w.hash[:-1])
-    p, q = T.powers(int(w.n_words.max(initial=0)) + 1)
-    at = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.n_words)
-    sums = np.zeros(len(w.hash) + 1, U)
-    np.cumsum(w.hash * p[at], out=sums[1:])
-    base = np.minimum(a - w.first[:-1][text], len(q) - 1)
-    key = T.mix((sums[z] - sums[a]) * q[np.maximum(base, 0)] + text.astype(U) * U(0x9E3779B97F4A7C15))
+    h = w.hash()
+    same = np.zeros(len(h) + 1)
+    if len(h) > 1:
+        same[2:] = np.cumsum(h[1:] == h[:-1])
+    line = np.repeat(np.arange(len(start)), z - a)
+    place = T.mix((np.arange(len(h)) - a[line] + 1).astype(U) * T.GOLDEN)
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(T.mix(h + place), out=sums[1:])
+    key = T.mix((sums[z] - sums[a]) + text.astype(U) * T.GOLDEN)
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     again = (times[back] > 1) & (words > 0)
     m, k = np.maximum(size, 1.0), np.maximum(words, 1.0)
@@ -252,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, id_col: str = "d
 
 
 def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column more, the score."""
+    """docs with a column more, the score, under the first free of the names score, _score, __score, ..."""
     common.tune(docs.sparkSession)
+    name = common.free(docs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

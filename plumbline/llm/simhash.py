@@ -77,9 +77,13 @@ def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     blocks = -(-count[full] // 255)
     block_first = np.repeat(first[:-1], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
     text_block = np.cumsum(blocks) - blocks
+    to = np.append(block_first, len(h))
     for k in range(2):
-        bits = T.mix(h ^ _SEEDS[30 + k]).view(np.uint8).reshape(-1, 8)
-        sums = np.add.reduceat(_SPREAD[bits], block_first, axis=0).view(np.uint8).reshape(len(block_first), 64)
+        sums = np.empty((len(block_first), 64), np.uint8)
+        for s in range(0, len(block_first), 4096):  # at most a million hashes at once
+            e = min(s + 4096, len(block_first))
+            bits = T.mix(h[to[s] : to[e]] ^ _SEEDS[30 + k]).view(np.uint8).reshape(-1, 8)
+            sums[s:e] = np.add.reduceat(_SPREAD[bits], to[s:e] - to[s], axis=0).view(np.uint8).reshape(e - s, 64)
         ones = np.add.reduceat(sums.astype(np.int32), text_block, axis=0)
         out[full, k] = np.packbits(2 * ones > count[full][:, None], axis=1, bitorder="little").view(U).ravel()
     return out
@@ -98,13 +102,8 @@ def signatures(w: T.Words, k: int) -> dict[str, np.ndarray]:
     bins = np.full(n * SKETCH, U(2**64 - 1))
     np.minimum.at(bins, np.repeat(np.arange(n), count) * SKETCH + (x & U(SKETCH - 1)).astype(np.int64), x)
     sketch = np.where(bins == U(2**64 - 1), 0, 1 + T.mix(bins) % U(255)).astype(np.uint8).reshape(n, SKETCH)
-    p, _ = T.powers(int(w.n_words.max(initial=0)) + 1)
-    at = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.n_words)
-    same = np.zeros((n, 2), U)
-    for i in range(2):
-        if len(some):
-            same[some, i] = np.add.reduceat(T.mix(w.hash ^ _SEEDS[20 + i]) * p[at], w.first[:-1][some])
-    return {"count": count, "sim": simhash(h, count), "least": least, "same": T.mix(same), "sketch": sketch}
+    same = np.stack([w.whole(0), w.whole(1)], axis=1)
+    return {"count": count, "sim": simhash(h, count), "least": least, "same": same, "sketch": sketch}
 
 
 _SIGNED = "doc_id long, n int, t0 long, t1 long, s0 long, s1 long, least array<long>, sketch binary"
@@ -408,7 +407,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(full.select(F.col("id").alias("doc_id"))).distinct()
     # a bit set, of bounded size, spares the shuffle of texts that no pair needs; the join is exact
     involved, involved_at = common.written(involved, "simhash-involved")
-    may = common.with_hit(slim, F.col("doc_id"), common.bits(involved, "doc_id")).where("__hit").drop("__hit")
+    may = common.with_hit(slim, "doc_id", common.bits(involved, "doc_id"), "hit").where("hit").drop("hit")
     texts, texts_at = common.written(may.join(involved.hint("merge"), "doc_id", "left_semi"), "simhash-texts")
     links, links_at = common.written(_verified(texts, nearest, k, similarity), "simhash-links")
     firsts, firsts_at = common.written(components(links), "simhash-classes")
@@ -433,7 +432,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         missing = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct().join(involved, "doc_id", "left_anti")
         missing, _ = common.written(missing, "simhash-missing")
         if missing.take(1):  # again without a shuffle of all texts
-            may = common.with_hit(slim, F.col("doc_id"), common.bits(missing, "doc_id")).where("__hit").drop("__hit")
+            may = common.with_hit(slim, "doc_id", common.bits(missing, "doc_id"), "hit").where("hit").drop("hit")
             more_texts, _ = common.written(may.join(missing.hint("merge"), "doc_id", "left_semi"), "simhash-texts")
             texts = texts.unionByName(more_texts)
     more, more_at = common.written(_verified(texts, rest, k, similarity), "simhash-links")
@@ -455,12 +454,13 @@ def components(edges: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its class, once each; rows without an id stay."""
     found = classes(docs, k, similarity, id_col, text_col)
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone_id, hit = common.free(docs, "gone"), common.free(docs, "hit")
+    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     # most rows are certain to stay without a join; texts of the others alone are shuffled
     gone, _ = common.written(gone, "simhash-gone")
-    marked = common.with_hit(docs, F.col(id_col), common.bits(gone, "__gone"))
-    sure, unsure = marked.where("not __hit").drop("__hit"), marked.where("__hit").drop("__hit")
-    kept = sure.unionByName(unsure.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti"))
+    marked = common.with_hit(docs, id_col, common.bits(gone, gone_id), hit)
+    sure, unsure = marked.where(~F.col(hit)).drop(hit), marked.where(hit).drop(hit)
+    kept = sure.unionByName(unsure.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(gone_id), "left_anti"))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         kept = named.unionByName(kept.where(F.col(id_col).isNull()))

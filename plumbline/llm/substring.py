@@ -13,14 +13,16 @@ The documents are read three times and their texts are never shuffled:
    document id; a task gets back those of its windows that a smaller document has.
 3. Every word under such a window goes: overlapping windows are the maximal exact repeats.
 
-Hits in step 1 may be too many (40 bits of a hash are compared) but none is missed; step 2
-compares 64 bits. What is shuffled is one number a distinct probe, as differences of sorted
-numbers; a passage in any number of documents counts once a task, so no key is hot. Answers lie as
-files by task in the shared folder. A pass checks that it reads the rows that the first one read
-and fails otherwise; an input whose partitions could change between passes is written first.
+Hits in step 1 may be too many (56 bits of a hash are compared) but none is missed; step 2 compares
+128 bits of a window's words (textwords). What is shuffled is one number a distinct probe, as
+differences of sorted numbers; a passage in any number of documents counts once a task, so no key is
+hot. Answers lie as files by group of tasks in the shared folder. A pass checks that it reads the rows that the first one read
+and fails otherwise; an input whose partitions could change between passes is written first. Long
+texts are worked through a span of windows at a time.
 
-Nulls and empty texts have no words. A null id counts as larger than all others. Rows with equal
-ids count as one document: neither removes from the other. Other columns pass through unchanged."""
+Nulls and empty texts have no words. A row without an id is neither smaller nor larger than any other: it
+keeps all its words and removes none. Rows with equal ids count as one document: neither removes
+from the other. Other columns pass through unchanged, whatever their names."""
 
 from __future__ import annotations
 
@@ -40,17 +42,19 @@ from . import textwords as T
 U = np.uint64
 #: Windows that a task holds before it sends them.
 FLUSH = 3_000_000
-
-
-def _ids(b: pa.RecordBatch, name: str) -> np.ndarray:
-    return pc.fill_null(T.column(b, name).cast(pa.int64()), int(common.NULL_ID)).to_numpy(zero_copy_only=False)
+#: Bits of a probe's hash that are compared: of 1e13 probes (2**43) one in 2**13 hits by chance.
+PROBE = 56
+#: Tasks whose answers share a folder.
+GROUP = 16
 
 
 def _texts(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str):
+    """(rows, their ids, which of them have one, their words)"""
     for b in batches:
-        ids, text = _ids(b, id_col), T.column(b, text_col)
+        key, text = T.column(b, id_col).cast(pa.int64()), T.column(b, text_col)
+        ids, has = pc.fill_null(key, 0).to_numpy(zero_copy_only=False), key.is_valid().to_numpy(zero_copy_only=False)
         for s, e in T.chunks(text):
-            yield b.slice(s, e - s), ids[s:e], T.of(text.slice(s, e - s))
+            yield b.slice(s, e - s), ids[s:e], has[s:e], T.of(text.slice(s, e - s))
 
 
 class _Same:
@@ -59,9 +63,9 @@ class _Same:
     def __init__(self) -> None:
         self.n, self.h = 0, 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, w: T.Words) -> None:
         self.n += len(ids)
-        self.h = (self.h + int(T.mix(ids.view(U).copy()).sum())) % 2**64
+        self.h = (self.h + int(T.mix(ids.view(U) + T.mix(w.n_words.astype(U))).sum())) % 2**64
 
     def row(self) -> np.ndarray:
         return np.array([self.n, self.h], U)
@@ -75,10 +79,21 @@ def _grouped(h: np.ndarray, *more: np.ndarray):
     return h, at, *(x[o] for x in more)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("task", pa.int32()), ("h", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_SENT_SQL = "bucket int, task int, h binary, a binary, b binary"
-_BACK = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("a", pa.binary())])
-_BACK_SQL = "task int, kind int, h binary, a binary"
+def _grouped_both(h: np.ndarray, g: np.ndarray, *more: np.ndarray):
+    """The same by two numbers, h and then g."""
+    o = np.argsort(h, kind="stable")
+    x, y = h[o], g[o]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        o = np.lexsort((g, h))
+        x, y = h[o], g[o]
+    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(h) else np.zeros(0, np.int64)
+    return x, y, at, *(v[o] for v in more)
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("task", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_SENT_SQL = "bucket int, task int, h binary, g binary, a binary, b binary"
+_BACK = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("a", pa.binary())])
+_BACK_SQL = "task int, kind int, h binary, g binary, a binary"
 
 
 def _by_bucket(h: np.ndarray, bits: int, n: int) -> list[tuple[int, int, int]]:
@@ -88,6 +103,10 @@ def _by_bucket(h: np.ndarray, bits: int, n: int) -> list[tuple[int, int, int]]:
     return [(k, int(cuts[k]), int(cuts[k + 1])) for k in range(n) if cuts[k + 1] > cuts[k]]
 
 
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+
+
 def _probes(block: int, window: int, buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, same, held, n = TaskContext.get().partitionId(), _Same(), [], 0
@@ -98,23 +117,24 @@ def _probes(block: int, window: int, buckets: int, id_col: str, text_col: str):
             several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
             ref = np.maximum.reduceat(ref, at)
             h = h[at]
-            rows = [(k, task, packed.put_sorted(h[s:e]), np.packbits(ref[s:e]).tobytes(), np.packbits(several[s:e]).tobytes()) for k, s, e in _by_bucket(h, 40, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
-
-        for _, ids, w in _texts(batches, id_col, text_col):
-            same.add(ids)
-            h, ok = w.windows(block)
-            ok &= np.repeat(w.n_words >= window, w.n_words)
-            ref = (np.arange(len(h)) - np.repeat(w.first[:-1], w.n_words)) % block == 0
-            held.append((h[ok] >> U(24), ref[ok], ids[w.text_of_word[ok]]))
-            n += int(ok.sum())
-            if n >= FLUSH:
-                yield flush()
-                n = 0
+            return _sent([(k, task, packed.put_sorted(h[s:e]), None, np.packbits(ref[s:e]).tobytes(), np.packbits(several[s:e]).tobytes()) for k, s, e in _by_bucket(h, PROBE, buckets)])
+
+        for _, ids, has, w in _texts(batches, id_col, text_col):
+            same.add(ids, w)
+            for lo, hi in w.spans(block):
+                h, ok = w.windows(block, lo, hi)
+                text = w.text_of(lo, hi)
+                ok &= has[text] & (w.n_words[text] >= window)
+                ref = (np.arange(lo, hi) - w.first[text]) % block == 0
+                held.append((h[ok] >> U(64 - PROBE), ref[ok], ids[text[ok]]))
+                n += int(ok.sum())
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
         if n:
             yield flush()
         if same.n:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((-1, task, packed.put(same.row()), None, None), _SENT)], schema=_SENT)
+            yield _sent([(-1, task, packed.put(same.row()), None, None, None)])
 
     return run
 
@@ -127,7 +147,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in common.groups(batches, ["bucket"]):
         tasks = t.column("task").to_pylist()
         if t.column("bucket")[0].as_py() < 0:
-            yield _back([(k, 0, x, None) for k, x in zip(tasks, t.column("h").to_pylist())])
+            yield _back([(k, 0, x, None, None) for k, x in zip(tasks, t.column("h").to_pylist())])
             continue
         parts = [packed.get_sorted(x) for x in t.column("h").to_pylist()]
         bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(t.column(c).to_pylist(), parts)])
@@ -135,102 +155,136 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = np.diff(at, append=len(h))
         hit = (np.maximum.reduceat(ref, at) > 0) & ((runs > 1) | (np.maximum.reduceat(several, at) > 0))
         hit = np.repeat(hit, runs)
-        yield from _answers(task[hit], h[hit], None)
+        yield from _answers(task[hit], h[hit], None, None)
 
 
-def _answers(task: np.ndarray, h: np.ndarray, a: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _answers(task: np.ndarray, h: np.ndarray, g: np.ndarray | None, a: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if not len(h):
         return
     o = np.argsort(task, kind="stable")
     task, h = task[o], h[o]
+    g, a = (None if x is None else x[o] for x in (g, a))
     cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
-    yield _back([(int(task[s]), 1, packed.put_sorted(h[s:e]), None if a is None else packed.put(a[o][s:e])) for s, e in zip(cuts[:-1], cuts[1:])])
-
-
-def _answer(uri: str, task: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """(hashes sorted, their numbers, what the first pass read) from a task's files."""
-    t = common.side_tables(uri, "task", task)
-    if t is None:
-        return np.zeros(0, U), None, None
-    h, a, same = [np.zeros(0, U)], [np.zeros(0, np.int64)], None
-    for kind, x, y in zip(t.column("kind").to_pylist(), t.column("h").to_pylist(), t.column("a").to_pylist()):
-        if kind == 0:
-            same = packed.get(x)
-        else:
-            h.append(packed.get_sorted(x))
-            a.append(packed.get(y, np.int64) if y is not None else np.zeros(0, np.int64))
-    h, at = np.unique(np.concatenate(h), return_index=True)
-    a = np.concatenate(a)
-    return h, a[at] if len(a) else None, same
+    yield _back([(int(task[s]), 1, packed.put_sorted(h[s:e]), None if g is None else packed.put(g[s:e]), None if a is None else packed.put(a[s:e])) for s, e in zip(cuts[:-1], cuts[1:])])
 
 
-def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return table[at] == h, at
+class _Answer:
+    """What a task got back: h sorted, and of windows g and the smallest document; same: what the first pass read."""
+
+    def __init__(self, uri: str, task: int) -> None:
+        self.h, self.g, self.least, self.same = np.zeros(0, U), None, None, None
+        t = common.side_tables(uri, "grp", task // GROUP, [("task", "=", task)])
+        if t is None:
+            return
+        h, g, a = [], [], []
+        for kind, x, y, z in zip(*(t.column(c).to_pylist() for c in ("kind", "h", "g", "a"))):
+            if kind == 0:
+                self.same = packed.get(x)
+                continue
+            h.append(packed.get_sorted(x))
+            if y is not None:
+                g.append(packed.get(y))
+                a.append(packed.get(z, np.int64))
+        if not h:
+            return
+        h = np.concatenate(h)
+        if g:
+            self.h, self.g, at, self.least = _grouped_both(h, np.concatenate(g), np.concatenate(a))
+            self.h, self.g, self.least = self.h[at], self.g[at], self.least[at]
+            run = np.diff(np.flatnonzero(np.concatenate(([True], self.h[1:] != self.h[:-1], [True]))))
+            self.most = int(run.max())
+        else:
+            self.h = np.unique(h)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(len(h), bool)
+        return self.h[np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)] == h
+
+    def smallest(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which windows are known, the smallest document of each of these)"""
+        found, least = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        if len(self.h):
+            at = np.searchsorted(self.h, h)
+            for k in range(self.most):  # entries that agree in h alone: one as good as always
+                i = np.minimum(at + k, len(self.h) - 1)
+                ok = ~found & (self.h[i] == h) & (self.g[i] == g)
+                least[ok] = self.least[i[ok]]
+                found |= ok
+        return found, least
 
 
 def _windows(block: int, window: int, buckets: int, id_col: str, text_col: str, uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, same, held, n = TaskContext.get().partitionId(), _Same(), [], 0
-        hits, _, first = _answer(uri, task)
+        hits = _Answer(uri, task)
 
         def flush() -> pa.RecordBatch:
-            h, at, doc = _grouped(*(np.concatenate(x) for x in zip(*held)))
+            h, g, at, doc = _grouped_both(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
-            low, high, h = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), h[at]
-            rows = [(k, task, packed.put_sorted(h[s:e]), packed.put(low[s:e]), packed.put(high[s:e] - low[s:e])) for k, s, e in _by_bucket(h, 64, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+            low, high, h, g = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), h[at], g[at]
+            return _sent([(k, task, packed.put_sorted(h[s:e]), packed.put(g[s:e]), packed.put(low[s:e]), packed.put(high[s:e] - low[s:e])) for k, s, e in _by_bucket(h, 64, buckets)])
 
-        for _, ids, w in _texts(batches, id_col, text_col):
-            same.add(ids)
-            if not len(hits) or not len(w.hash):
+        for _, ids, has, w in _texts(batches, id_col, text_col):
+            same.add(ids, w)
+            if not len(hits.h):
                 continue
-            small, _ = w.windows(block)
-            hit = np.concatenate(([0], np.cumsum(_found(hits, small >> U(24))[0])))
-            h, ok = w.windows(window)
-            i = np.arange(len(h))
-            ok &= hit[np.minimum(i + window - block + 1, len(h))] > hit[i]
-            held.append((h[ok], ids[w.text_of_word[ok]]))
-            n += int(ok.sum())
-            if n >= FLUSH:
-                yield flush()
-                n = 0
+            for lo, hi in w.spans():
+                # blocks that windows of this span may hold begin up to window - block words after it
+                small, _ = w.windows(block, lo, min(len(w.start), hi + window - block))
+                hit = np.concatenate(([0], np.cumsum(hits.has(small >> U(64 - PROBE)))))
+                h, ok = w.windows(window, lo, hi)
+                text = w.text_of(lo, hi)
+                i = np.arange(len(h))
+                ok &= has[text] & (hit[np.minimum(i + window - block + 1, len(small))] > hit[i])
+                if not ok.any():
+                    continue
+                held.append((h[ok], w.windows(window, lo, hi, 1)[0][ok], ids[text[ok]]))
+                n += int(ok.sum())
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
         if n:
             yield flush()
-        _check(same, first, task)
+        _check(same, hits, task)
 
     return run
 
 
-def _check(same: _Same, first: np.ndarray | None, task: int) -> None:
-    if same.n and (first is None or (first != same.row()).any()):
+def _check(same: _Same, first: _Answer, task: int) -> None:
+    if same.n and (first.same is None or (first.same != same.row()).any()):
         raise RuntimeError(f"substring dedup: task {task} reads other rows than in the first pass; write the input as a table first")
 
 
 def _smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in common.groups(batches, ["bucket"]):
         parts = [packed.get_sorted(x) for x in t.column("h").to_pylist()]
+        g = np.concatenate([packed.get(x) for x in t.column("g").to_pylist()])
         low = np.concatenate([packed.get(x, np.int64) for x in t.column("a").to_pylist()])
         high = low + np.concatenate([packed.get(x, np.int64) for x in t.column("b").to_pylist()])
-        h, at, low, high, task = _grouped(np.concatenate(parts), low, high, np.repeat(np.array(t.column("task").to_pylist(), np.int32), [len(p) for p in parts]))
+        h, g, at, low, high, task = _grouped_both(np.concatenate(parts), g, low, high, np.repeat(np.array(t.column("task").to_pylist(), np.int32), [len(p) for p in parts]))
         least = np.repeat(np.minimum.reduceat(low, at), np.diff(at, append=len(h)))
         needs = least < high
-        yield from _answers(task[needs], h[needs], least[needs])
-
-
-def _removed(w: T.Words, ids: np.ndarray, window: int, h_table: np.ndarray, least: np.ndarray | None) -> np.ndarray:
-    """Which words go."""
-    if not len(h_table) or not len(w.hash):
-        return np.zeros(len(w.hash), bool)
-    h, ok = w.windows(window)
-    found, at = _found(h_table, h)
-    ok &= found & (least[at] < ids[w.text_of_word])
-    i = np.flatnonzero(ok)
-    edge = np.zeros(len(h) + 1, np.int64)
-    np.add.at(edge, i, 1)
-    np.add.at(edge, i + window, -1)
+        yield from _answers(task[needs], h[needs], g[needs], least[needs])
+
+
+def _removed(w: T.Words, ids: np.ndarray, has: np.ndarray, window: int, known: _Answer) -> np.ndarray:
+    """Which words go: those of maximal runs of windows that a smaller document has."""
+    n = len(w.start)
+    if known.g is None or not n:
+        return np.zeros(n, bool)
+    edge = np.zeros(n + 1, np.int32)
+    for lo, hi in w.spans():
+        h, ok = w.windows(window, lo, hi)
+        text = w.text_of(lo, hi)
+        ok &= known.has(h) & has[text]
+        if not ok.any():
+            continue
+        i = np.flatnonzero(ok)
+        found, least = known.smallest(h[i], w.windows(window, lo, hi, 1)[0][i])
+        i = i[found & (least < ids[text[i]])] + lo
+        np.add.at(edge, i, 1)
+        np.add.at(edge, i + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -238,14 +292,14 @@ def _cut(w: T.Words, keep_word: np.ndarray, joined: bool) -> tuple[np.ndarray, n
     """(bytes, where each text begins and the end) of what is left. joined: words with one space
     between; else each removed word goes with the white space up to the next word."""
     n = len(w.data)
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int8)
     data = w.data
     if joined:
         k = np.flatnonzero(keep_word)
         np.add.at(edge, w.start[k], 1)
         np.add.at(edge, w.end[k], -1)
-        mask = np.cumsum(edge[:-1]) > 0
-        doc = w.text_of_word[k]
+        mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        doc = w.text_of()[k]
         sep = w.end[k[:-1][doc[1:] == doc[:-1]]]
         data = data.copy()
         data[sep] = 0x20
@@ -256,9 +310,10 @@ def _cut(w: T.Words, keep_word: np.ndarray, joined: bool) -> tuple[np.ndarray, n
         last = np.repeat(w.off[1:], w.n_words)
         np.add.at(edge, w.start[k], 1)
         np.add.at(edge, np.minimum(stop, last)[k], -1)
-        mask = np.cumsum(edge[:-1]) == 0
-    total = np.concatenate(([0], np.cumsum(mask)))
-    return data[mask], total[w.off]
+        mask = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    left = data[mask]
+    cut = np.concatenate(([0], np.cumsum([np.count_nonzero(mask[a:z]) for a, z in zip(w.off.tolist(), w.off[1:].tolist())]))).astype(np.int64)
+    return left, cut
 
 
 def _digest(window: int, id_col: str, text_col: str, uri: str):
@@ -266,36 +321,36 @@ def _digest(window: int, id_col: str, text_col: str, uri: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, same = TaskContext.get().partitionId(), _Same()
-        table, least, first = _answer(uri, task)
-        for b, ids, w in _texts(batches, id_col, text_col):
-            same.add(ids)
-            gone = _removed(w, ids, window, table, least)
+        known = _Answer(uri, task)
+        for b, ids, has, w in _texts(batches, id_col, text_col):
+            same.add(ids, w)
+            gone = _removed(w, ids, has, window, known)
             data, off = _cut(w, ~gone, True)
-            view, cuts = memoryview(data.tobytes()), off.tolist()
+            view, cuts = memoryview(data), off.tolist()
             total = np.concatenate(([0], np.cumsum(gone)))
             sha = [hashlib.sha256(view[s:e]).hexdigest() for s, e in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([T.column(b, id_col).cast(pa.int64()), pa.array(w.n_words, pa.int64()), pa.array(np.diff(total[w.first]), pa.int64()), pa.array(sha, pa.string())], schema=out)
-        _check(same, first, task)
+        _check(same, known, task)
 
     return run
 
 
-def _texts_left(window: int, id_col: str, text_col: str, uri: str):
+def _texts_left(window: int, id_col: str, text_col: str, uri: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, same = TaskContext.get().partitionId(), _Same()
-        table, least, first = _answer(uri, task)
-        for b, ids, w in _texts(batches, id_col, text_col):
-            same.add(ids)
-            gone = _removed(w, ids, window, table, least)
+        known = _Answer(uri, task)
+        for b, ids, has, w in _texts(batches, id_col, text_col):
+            same.add(ids, w)
+            gone = _removed(w, ids, has, window, known)
             data, off = _cut(w, ~gone, False)
             old = T.column(b, text_col)
             text = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(old.type)
             text = pc.if_else(pc.is_valid(old), text, pa.scalar(None, old.type))
             total = np.concatenate(([0], np.cumsum(gone)))
-            i = b.schema.get_field_index(text_col)
+            i = b.schema.names.index(text_col)
             cols = [text if j == i else c for j, c in enumerate(b.columns)] + [pa.array(np.diff(total[w.first]), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "__n_removed"])
-        _check(same, first, task)
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, name])
+        _check(same, known, task)
 
     return run
 
@@ -312,22 +367,18 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[D
     block, n = (window + 1) // 2, common.shuffles(spark)
     slim = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
 
-    def ask(what, sent, answer) -> str:
-        rows = slim.mapInArrow(sent, _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _BACK_SQL)
+    def answered(rows: DataFrame, what: str) -> str:
         at = common.place(spark, what)
-        rows.repartition(n, "task").write.partitionBy("task").parquet(at)
+        rows.withColumn("grp", F.expr(f"task div {GROUP}")).repartition(n, "grp").sortWithinPartitions("grp", "task").write.partitionBy("grp").parquet(at)
         return at
 
-    hits = ask("substring-hits", _probes(block, window, n, id_col, text_col), _hits)
-
-    def windows_and_check(batches):
-        for b in _windows(block, window, n, id_col, text_col, hits)(batches):
-            yield b
+    def ask(sent, answer) -> DataFrame:
+        return slim.mapInArrow(sent, _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _BACK_SQL)
 
-    windows = slim.mapInArrow(windows_and_check, _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_smaller, _BACK_SQL)
-    marks = spark.read.schema("kind int, h binary, a binary, task int").parquet(hits).where("kind = 0").select("task", "kind", "h", "a")
-    at = common.place(spark, "substring-windows")
-    windows.unionByName(marks).repartition(n, "task").write.partitionBy("task").parquet(at)
+    hits = answered(ask(_probes(block, window, n, id_col, text_col), _hits), "substring-hits")
+    windows = ask(_windows(block, window, n, id_col, text_col, hits), _smaller)
+    marks = spark.read.schema(_BACK_SQL + ", grp int").parquet(hits).where("kind = 0").drop("grp")
+    at = answered(windows.unionByName(marks), "substring-windows")
     common.discard(hits)
     return docs, at
 
@@ -338,9 +389,10 @@ def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(_digest(window, id_col, text_col, at), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with repeated passages cut from the text, and __n_removed
-    words. A removed word goes with the white space after it; what stays is unchanged."""
+def deduplicate(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
+    """The rows of docs, all columns, with repeated passages cut from the text, and a column more, the
+    number of removed words, under the first free of the names n_removed, _n_removed, __n_removed, ... A removed word goes with the white space after it; what stays is unchanged."""
+    removed_col = common.free(docs, removed_col)
     docs, at = _passes(docs, id_col, text_col, window)
-    schema = docs.select("*", F.lit(0).cast("long").alias("__n_removed")).schema
-    return docs.mapInArrow(_texts_left(window, id_col, text_col, at), schema)
+    schema = docs.select("*", F.lit(0).cast("long").alias(removed_col)).schema
+    return docs.mapInArrow(_texts_left(window, id_col, text_col, at, removed_col), schema)

@@ -8,7 +8,7 @@ of the payload. NAME.idx also lists the keys in the order of the payload, for se
 The manifest, a table written by Spark, names the files of each shard; a task that is run twice
 writes files of two names, of which the manifest has one.
 
-A null text is empty; a null id counts as larger than all others. Rows of equal id are kept, in
+A null text is empty; rows without an id come after all others. Rows of equal id are kept, in
 the order of their texts; a key is an id and a number, 0 for its first row. Other columns are
 ignored. Memory of a task is bounded by a chunk of texts and 40 bytes a document of its shard;
 shards are as many as spark.sql.shuffle.partitions."""
@@ -37,23 +37,28 @@ _MANIFEST_SQL = "shard int, name string, width int, docs long, ids long, low lon
 READ = 4 << 20
 
 
+#: Numbers of rows without an id begin here.
+_MISSING = 1 << 62
+
+
 def keys_of(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return T.mix(T.mix(ids.astype(np.int64).view(U).copy()) + number.astype(U) * U(0x9E3779B97F4A7C15))
+    """Different for different ids whose number is 0: each step is then a bijection."""
+    return T.mix(T.mix(ids.astype(np.int64).view(U).copy()) + number.astype(U) * T.GOLDEN)
 
 
-def _numbers(ids: np.ndarray) -> np.ndarray:
-    """Of sorted ids, how many equal ones come before each."""
-    i = np.arange(len(ids))
-    new = np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)]
-    return i - np.maximum.accumulate(np.where(new, i, 0)) if len(ids) else i
+def _numbers(ids: np.ndarray, named: int) -> np.ndarray:
+    """Of sorted ids, how many equal ones come before each; the rows after the first `named` have no id."""
+    i = np.arange(named)
+    new = np.concatenate(([True], ids[1:named] != ids[: named - 1]))[:named]
+    return np.concatenate([i - np.maximum.accumulate(np.where(new, i, 0)) if named else i, _MISSING + np.arange(len(ids) - named)])
 
 
-def _index_bytes(ids: np.ndarray, length: np.ndarray) -> bytes:
-    keys = keys_of(ids, _numbers(ids))
+def _index_bytes(ids: np.ndarray, named: int, length: np.ndarray) -> bytes:
+    keys = keys_of(ids, _numbers(ids, named))
     m = mph.build(keys)
     slot = m.slot(keys)
     by = {"fingerprint": mph.fingerprint(keys), "offset": np.cumsum(length) - length, "length": length}
-    arrays = {"keys": ids, "shift": m.shift}
+    arrays = {"keys": ids, "named": np.array([named]), "shift": m.shift}
     for k, v in by.items():
         arrays[k] = np.empty(len(v), v.dtype)
         arrays[k][slot] = v
@@ -99,10 +104,12 @@ def _writer(uri: str, path: str, end: int | None, id_col: str, text_col: str):
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
         fs, at = common.filesystem(uri)
         fs.create_dir(at, recursive=True)
-        ids, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, length, named = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         with fs.open_output_stream(f"{at}/{name}.ids") as out:
             for b in batches:
-                text, key = T.column(b, text_col), pc.fill_null(T.column(b, id_col), int(common.NULL_ID)).to_numpy()
+                text, key = T.column(b, text_col), T.column(b, id_col)
+                named += len(key) - key.null_count  # those without come last
+                key = pc.fill_null(key, 0).to_numpy()
                 for s, e in T.chunks(text):
                     flat, cut = coder.encode(text.slice(s, e - s), end)
                     out.write(flat.astype(f"<u{width}").tobytes())
@@ -110,8 +117,8 @@ def _writer(uri: str, path: str, end: int | None, id_col: str, text_col: str):
                     ids.append(key[s:e])
         ids, length = np.concatenate(ids), np.concatenate(length)
         with fs.open_output_stream(f"{at}/{name}.idx") as out:
-            out.write(_index_bytes(ids, length))
-        row = (shard, name, width, len(ids), int(length.sum()), int(ids[0]) if len(ids) else None, int(ids[-1]) if len(ids) else None)
+            out.write(_index_bytes(ids, named, length))
+        row = (shard, name, width, len(ids), int(length.sum()), int(ids[0]) if named else None, int(ids[named - 1]) if named else None)
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _MANIFEST)], schema=_MANIFEST)
 
     return run
@@ -121,10 +128,10 @@ def write(docs: DataFrame, path: str, uri: str, end: int | None = 1, id_col: str
     """Encode every text, write shards into the folder uri, and return the manifest (also written there)."""
     spark = docs.sparkSession
     common.tune(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(common.NULL_ID)))
-    slim = docs.select(key.alias("__id"), F.col(text_col).alias("__text"))
-    ordered = slim.repartitionByRange(common.shuffles(spark), "__id").sortWithinPartitions("__id", "__text")
-    ordered.mapInArrow(_writer(uri, path, end, "__id", "__text"), _MANIFEST_SQL).write.parquet(f"{uri}/manifest")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    key = F.col("id").asc_nulls_last()
+    ordered = slim.repartitionByRange(common.shuffles(spark), key).sortWithinPartitions(key, "text")
+    ordered.mapInArrow(_writer(uri, path, end, "id", "text"), _MANIFEST_SQL).write.parquet(f"{uri}/manifest")
     return manifest(spark, uri)
 
 
@@ -144,7 +151,8 @@ def _reader(uri: str):
             for row in b.to_pylist():
                 shard = Shard(uri, row["name"], row["width"])
                 ids = shard.part["keys"]
-                found, offset, length = shard.find(ids, _numbers(ids))
+                named = int(shard.part["named"][0])
+                found, offset, length = shard.find(ids, _numbers(ids, named))
                 if not found.all() or len(ids) != row["docs"]:
                     raise RuntimeError(f"{row['name']}: keys are missing from the index")
                 stop = offset + length
@@ -154,7 +162,7 @@ def _reader(uri: str):
                     data = shard.read(int(offset[i]), int(stop[j - 1] - offset[i])).astype("<u4")
                     view, base = memoryview(data).cast("B"), int(offset[i])
                     crc = [zlib.crc32(view[4 * (s - base) : 4 * (e - base)]) for s, e in zip(offset[i:j].tolist(), stop[i:j].tolist())]
-                    doc = pa.array(ids[i:j], pa.int64(), mask=ids[i:j] == common.NULL_ID)
+                    doc = pa.array(ids[i:j], pa.int64(), mask=np.arange(i, j) >= named)
                     yield pa.RecordBatch.from_arrays([doc, pa.array(offset[i:j] + row["first"], pa.int64()), pa.array(length[i:j], pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(j - i, row["shard"]), pa.int32())], schema=out)
                     i = j
 

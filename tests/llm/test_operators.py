@@ -53,7 +53,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -166,15 +165,14 @@ def test_splitting_equals_the_pattern():
 def brute_substrings(rows, window):
     first, out = {}, []
     words = [(i, WORD.findall(t or "")) for i, t in rows]
-    top = 2**63 - 1
     for i, w in words:
-        for k in range(len(w) - window + 1):
+        for k in range(len(w) - window + 1 if i is not None else 0):
             key = tuple(w[k : k + window])
-            first[key] = min(first.get(key, top), top if i is None else i)
+            first[key] = min(first.get(key, i), i)
     for i, w in words:
         gone = [False] * len(w)
-        for k in range(len(w) - window + 1):
-            if first[tuple(w[k : k + window])] < (top if i is None else i):
+        for k in range(len(w) - window + 1 if i is not None else 0):  # nothing is smaller than no id
+            if first[tuple(w[k : k + window])] < i:
                 gone[k : k + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i is None, i or 0, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
@@ -190,7 +188,7 @@ def test_substrings(spark, rows, window):
 def test_substrings_keep_rows_and_columns(spark, rows):
     d = docs(spark, rows)
     got = substring.deduplicate(d)
-    assert got.columns == [*d.columns, "__n_removed"] and got.count() == len(rows)
+    assert got.columns == [*d.columns, "n_removed"] and got.count() == len(rows)
     left = {r["doc_id"]: r["text"] for r in got.collect()}
     assert left[24] is None and left[25] == "" and left[26] == " \n " and left[1] == dict(rows)[1]
     assert left[20] == "" and WORD.findall(left[22]) == WORD.findall(dict(rows)[22])[60:100]
@@ -461,6 +459,9 @@ def test_words_and_windows():
     assert w.n_words.tolist() == [len(WORD.findall(t or "")) for t in texts]
     h, ok = w.windows(3)
     assert ok.sum() == 1 + 4
+    for lo, hi in ((0, 3), (2, 9), (8, len(h))):
+        part, fits = w.windows(3, lo, hi)
+        assert (part[fits] == h[lo:hi][ok[lo:hi]]).all() and (fits == ok[lo:hi]).all()
     _, count = w.shingles(5)
     assert count.tolist() == [0, 0, 1, 1, 2, 1]
     assert list(T.chunks(pa.array(["aaaa", "b", None, "cc"]), 4)) == [(0, 1), (1, 4)]
@@ -468,10 +469,10 @@ def test_words_and_windows():
 
 def test_bit_set_has_no_false_negatives(spark):
     ids = spark.range(0, 500).selectExpr("id * 7 as k")
-    df = spark.range(0, 4000).selectExpr("id", "'x' as __k").unionByName(spark.sql("select cast(null as long) as id, 'y' as __k"))
-    got = common.with_hit(df, df["id"], common.bits(ids, "k"))
-    assert got.columns == ["id", "__k", "__hit"]
-    hits = {r["id"] for r in got.where("__hit").collect()}
+    df = spark.range(0, 4000).selectExpr("id", "'x' as __word", "1 as __AT", "2 as __mask").unionByName(spark.sql("select cast(null as long) as id, 'y' as __word, 1 as __AT, 2 as __mask"))
+    got = common.with_hit(df, "id", common.bits(ids, "k"), "hit")
+    assert got.columns == ["id", "__word", "__AT", "__mask", "hit"] and {r["__mask"] for r in got.collect()} == {2}
+    hits = {r["id"] for r in got.where("hit").collect()}
     assert {7 * i for i in range(500)} <= hits and None not in hits and len(hits) < 520
 
 
@@ -482,3 +483,106 @@ def test_url_paths_of_any_depth_and_parents(spark):
     got = {r["page_id"]: (r["decision"], r["entry"]) for r in urls.judge(df, events).collect()}
     a, b, none = ("block", "x.org/a/b"), ("block", "bad.com/p"), ("none", None)
     assert got == {0: a, 1: none, 2: none, 3: b, 4: b, 5: none}
+
+
+# what only equal bytes may make equal
+
+
+def mirrored(n=2048):
+    """A Thue-Morse word and its complement: every polynomial hash modulo a power of two takes them for equal."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_words_that_fool_polynomials(spark):
+    import tiktoken
+
+    a, b = mirrored()
+    texts = pa.array([a, b, f"x {b} {a}"])
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(BYTES), special_tokens={})
+    coder = bpe.ByteCoder(BYTES)
+    ids, cut = coder.encode(texts)
+    for x, i, j in zip(texts.to_pylist(), cut, cut[1:]):
+        assert ids[i:j].tolist() == enc.encode_ordinary(x) and coder.decode(ids[i:j].tolist()).decode() == x
+    lib = library()
+    ids, cut = pretokens.WordCoder(WORDS).encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(cut, cut[1:])] == [lib(x) for x in texts.to_pylist()]
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}"), (4, " ".join(a)), (5, " ".join(b))]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(docs(spark, rows)).collect())
+    assert got == brute_substrings(rows, 13) and [r[3] for r in got[:3]] == [0, 0, 13]
+    found = {r["doc_id"]: r["class_id"] for r in simhash.classes(docs(spark, [(1, a), (2, b), (3, a), (6, " ".join(a + a)), (7, " ".join(b + b))])).collect()}
+    assert found[2] == 2 and found[3] == 1
+    w = T.of(pa.array([a, b, " ".join(a), " ".join(b)]))
+    assert len(set(w.whole().tolist())) == 4 and len(set(w.whole(1).tolist())) == 4
+    assert licenses.scan(docs(spark, [(1, f"a b c d {a}")]), {"x": f"a b c d {b}"}).count() == 0
+
+
+def test_equal_hashes_of_different_words(monkeypatch):
+    """With a hash that is worth nothing, ids are still right: bytes decide."""
+    texts = pa.array(["the cat and the dog", "a b c 12 ab abc", "東京 é the naïve"])
+    want = pretokens.WordCoder(WORDS).encode(texts)[0].tolist()
+    monkeypatch.setattr(T, "hashed", lambda data, start, size, lane=0: (size % 3).astype(np.uint64))
+    assert pretokens.WordCoder(WORDS).encode(texts)[0].tolist() == want
+
+
+@pytest.mark.parametrize("piece", [20, 2 << 20])
+def test_special_tokens_and_pieces(monkeypatch, piece):
+    import tiktoken
+
+    monkeypatch.setattr(pretokens, "PIECE", piece)
+    rng = random.Random(8)
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>a<|endoftext|", "don<|endoftext|>'t", "a <|endoftext|>\u0301b", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice(["a", "b ", " ", "\n", "'s", "1", "é", "東", "<|endoftext|>", "!?", "\x1c", "  "]) for _ in range(60)) for _ in range(200)]
+    lib, enc = library(), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(BYTES), special_tokens={})
+    for coder, want in ((pretokens.WordCoder(WORDS), lib), (bpe.ByteCoder(BYTES), enc.encode_ordinary)):
+        ids, cut = coder.encode(pa.array(texts))
+        for x, i, j in zip(texts, cut, cut[1:]):
+            assert ids[i:j].tolist() == want(x)
+    assert 49407 in lib(texts[0])
+
+
+def test_the_largest_id_is_an_id(spark):
+    top = 2**63 - 1
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(top, text), (None, text), (3, text), (None, text), (-(2**63), "x")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in substring.digests(docs(spark, rows)).collect())
+    assert got == [(False, -(2**63), 0), (False, 3, 0), (False, top, 20), (True, 0, 0), (True, 0, 0)]
+    uri = common.place(spark, "t")
+    tokenfile.write(docs(spark, rows), WORDS, uri)
+    read = sorted((r["start"], r["doc_id"]) for r in tokenfile.read_digests(spark, uri).collect())
+    assert [i for _, i in read] == [-(2**63), 3, top, None, None]
+    assert tokenfile.lookup(spark, uri, top).tolist() == library()(text) + [1]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    names = ["__at", "__mask", "__word", "__hit", "hit", "gone", "__gone", "score", "__score", "n_removed", "__n_removed", "class_id", "shard", "task"]
+    df = spark.createDataFrame([(1, text, *names), (2, text, *names), (3, "other text of its own", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in df.where("doc_id <> 2").collect())
+    cut = substring.deduplicate(df)
+    assert cut.columns == [*df.columns, "_n_removed"] and {r["doc_id"]: r["_n_removed"] for r in cut.collect()} == {1: 0, 2: 20, 3: 0}
+    field = quality.fit_rows(np.zeros((0, 17)), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
+    scored = quality.scored(df, field)
+    assert scored.columns == [*df.columns, "_score"] and {r["score"] for r in scored.collect()} == {"score"}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"getConf": lambda self: Conf(), "master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        common.shared(Cluster())
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_LINKS", 0)
+    test_components(spark)
