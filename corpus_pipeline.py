@@ -19,7 +19,9 @@ LEAST_SCORE = 0.5
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: rejected documents go, the others are unchanged."""
     field = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, field, name="__score").where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    scored = quality.scored(docs, field)
+    score = scored.columns[-1]
+    return scored.where(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages of 13 words or more that a smaller id has are cut; n_chars follows."""
     cut = substring.deduplicate(docs)
-    return cut.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__n_removed")
+    removed = cut.columns[-1]
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.drop(removed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
