@@ -1,17 +1,19 @@
 """Packing documents into sequences by non-negative least squares over the length histogram.
 
 Each document is a run of ids. Whole windows are cut off its start; what remains has one of
-window - 1 lengths. Shallow combinations of two or three lengths that fill a window exactly are
-enumerated, their repeat counts solved against the histogram of remainders under x >= 0, rounded
-down and held to what there is. The residual remainders are packed greedily, one after the other
+window - 1 lengths. Shallow combinations of two or three lengths that occur and fill a window exactly are
+enumerated (of more, up to DEPTH, when those run out, as short remainders do in threes), their repeat counts solved against the histogram of remainders under x >= 0, and rounded:
+whole parts first, then, the largest fraction first, one more of each for which there is stock.
+What is left is enumerated, solved and rounded again, until RESIDUAL of the remainders' ids are left
+or combinations place next to nothing more. These residual remainders are packed greedily, one after the other
 in order of length, cut where a window ends; the last, partial window is divided into sequences of
 powers of two, so that nothing is padded.
 
-Only the histogram (window rows) comes to the driver, and only the plan (three runs a combination,
-all combinations known beforehand) goes out. A row finds its place by its rank among the rows of its
-length: rank in its task plus the counts of the tasks before, so that no length, however common, is
-gathered or sorted. Ids are encoded once and written; they are not shuffled unless the table of task
-counts is too large to broadcast (its size is checked; then a shuffled join does the same).
+Only the histogram (window rows) comes to the driver, and only the plan (a run for each length of a
+combination and turn) goes out. A row finds its place by its rank among the rows of its length: rank
+in its task plus the counts of the tasks before, so that no length, however common, is gathered or
+sorted. These counts lie in the shared folder by group of tasks, and a task reads its own. Ids are
+encoded once and written; they are not shuffled.
 
 A null text is empty: one end id. Null and repeated ids are carried as they are. Other columns are
 ignored."""
@@ -31,29 +33,46 @@ from pyspark.sql import functions as F
 from . import common, pretokens
 from . import textwords as T
 
-#: Rows of the table of task counts up to which it is broadcast (about 24 bytes each).
-BROADCAST_ROWS = 1_000_000
-
-
-def combinations(window: int, step: int = 64) -> np.ndarray:
-    """(k, 3) lengths, 0 for none: all pairs that fill the window, and the triples whose least is a multiple of step."""
-    a = np.arange(1, window // 2 + 1)
-    rows = [np.stack([a, window - a, np.zeros_like(a)], axis=1)]
-    for least in range(step, window // 3 + 1, step):
-        b = np.arange(least, (window - least) // 2 + 1)
-        rows.append(np.stack([np.full_like(b, least), b, window - least - b], axis=1))
-    return np.concatenate(rows)
-
-
-def solve(combos: np.ndarray, have: np.ndarray, rounds: int = 400) -> np.ndarray:
+#: Tasks whose counts share a folder.
+GROUP = 64
+
+
+#: Combinations solved for at once, lengths of one, and the share of the remainders' ids that may be left to the greedy end.
+COMBINATIONS, DEPTH, RESIDUAL = 60_000, 8, 0.02
+
+
+def combinations(window: int, have: np.ndarray, depth: int = 3, turn: int = 0) -> np.ndarray:
+    """(k, depth) lengths, 0 for none, that occur and fill the window: all pairs, and those of two lengths
+    with depth - 2 neighbouring shorter ones. Were these more than COMBINATIONS, only those of every s-th
+    run of neighbours are made, of all runs in s turns."""
+    there = have > 0
+    a = np.flatnonzero(there[: window // 2 + 1])
+    a = a[(a > 0) & there[window - a]]
+    rows = [np.stack([a, window - a, *[np.zeros_like(a)] * (depth - 2)], axis=1)]
+    lengths = np.flatnonzero(there)
+    n = depth - 2
+    fixed = np.lib.stride_tricks.sliding_window_view(lengths, n) if len(lengths) >= n else np.zeros((0, n), np.int64)
+    stock = lengths[have[lengths] >= n]  # and one length several times
+    fixed = np.concatenate([fixed, np.repeat(stock[:, None], n, axis=1)]) if n > 1 else fixed
+    fixed = fixed[fixed.sum(axis=1) + 2 * fixed[:, -1] <= window]
+    step = max(1, len(fixed) * len(lengths) // (4 * COMBINATIONS))
+    for f in fixed[turn % step :: step]:
+        rest = window - int(f.sum())
+        y = np.arange(int(f[-1]), rest // 2 + 1)
+        y = y[there[y] & there[rest - y]]
+        rows.append(np.concatenate([np.repeat(f[None], len(y), axis=0), y[:, None], rest - y[:, None]], axis=1))
+    return np.concatenate(rows).astype(np.int64)
+
+
+def solve(combos: np.ndarray, have: np.ndarray, rounds: int = 150) -> np.ndarray:
     """x >= 0 that minimises |A x - have|**2, where A counts the lengths of each combination, by accelerated projected gradients."""
     n = len(have)
 
     def forward(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(combos[:, j], x * (combos[:, j] > 0), n) for j in range(3))
+        return sum(np.bincount(combos[:, j], x * (combos[:, j] > 0), n) for j in range(combos.shape[1]))
 
     def back(r: np.ndarray) -> np.ndarray:
-        return sum(r[combos[:, j]] * (combos[:, j] > 0) for j in range(3))
+        return sum(r[combos[:, j]] * (combos[:, j] > 0) for j in range(combos.shape[1]))
 
     v = np.ones(len(combos))
     for _ in range(30):
@@ -81,6 +100,7 @@ class Plan:
     offset: np.ndarray
     used: np.ndarray
     placed: int  # sequences before the residual ones
+    share: float  # of the remainders' ids, that combinations place
     rest_first: np.ndarray  # by length: where the residual remainders of that length begin
     rest: int
 
@@ -96,32 +116,59 @@ class Plan:
         return np.array([*out, at], np.int64)
 
 
+def counts(combos: np.ndarray, x: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """x in whole numbers, within the stock: rounded down, then one more of each, the largest fraction first."""
+    whole = np.floor(x + 1e-6).astype(np.int64)
+    stock = left.tolist()
+    out = np.zeros(len(x), np.int64)
+    rows = combos.tolist()
+
+    def take(j: int, k: int) -> None:
+        parts = [v for v in rows[j] if v]
+        k = min(k, *(stock[v] // parts.count(v) for v in parts))
+        if k > 0:
+            out[j] += k
+            for v in parts:
+                stock[v] -= k
+
+    for j in np.argsort(-x, kind="stable")[: np.count_nonzero(whole)].tolist():
+        take(j, int(whole[j]))
+    for j in np.argsort(whole - x, kind="stable").tolist():
+        take(j, 1)
+    return out
+
+
 def plan(have: np.ndarray, full: int, window: int) -> Plan:
     """have: remainders by length (have[0] ignored); full: whole windows cut off."""
     have = have.astype(np.int64).copy()
     have[0] = 0
-    combos = combinations(window)
-    x = np.floor(solve(combos, have.astype(float)) + 1e-6).astype(np.int64)
+    length = np.arange(len(have))
+    total = int((have * length).sum())
     left, used, at = have.copy(), np.zeros_like(have), full
     runs: list[tuple[int, int, int, int, int]] = []
-    for j in np.argsort(-x, kind="stable"):
-        if not x[j]:
-            break
-        parts = [int(v) for v in combos[j] if v]
-        k = int(min([x[j], *(left[v] // parts.count(v) for v in set(parts))]))
-        if not k:
-            continue
-        offset = 0
-        for v in parts:
-            runs.append((v, int(used[v]), k, at, offset))
-            used[v] += k
-            left[v] -= k
-            offset += v
-        at += k
+    depth = min(3, DEPTH)
+    turn = 0
+    while (before := int((left * length).sum())) > RESIDUAL * total:
+        combos = combinations(window, left, depth, turn)
+        turn += 1
+        x = counts(combos, solve(combos, left.astype(float)), left) if len(combos) else np.zeros(0, np.int64)
+        for j in np.flatnonzero(x).tolist():
+            parts, k, offset = [int(v) for v in combos[j] if v], int(x[j]), 0
+            for v in parts:
+                runs.append((v, int(used[v]), k, at, offset))
+                used[v] += k
+                left[v] -= k
+                offset += v
+            at += k
+        if before - int((left * length).sum()) < 0.005 * total:
+            if depth == DEPTH:
+                break
+            depth += 1
     runs.sort()
     r = np.array(runs, np.int64).reshape(-1, 5)
-    size = left * np.arange(len(left))
-    return Plan(window, full, r[:, 0] << 40 | r[:, 1], r[:, 2], r[:, 3], r[:, 4], used, at, np.cumsum(size) - size, int(size.sum()))
+    size = left * length
+    share = 1 - int(size.sum()) / total if total else 1.0
+    return Plan(window, full, r[:, 0] << 40 | r[:, 1], r[:, 2], r[:, 3], r[:, 4], used, at, share, np.cumsum(size) - size, int(size.sum()))
 
 
 def pieces(p: Plan, tokens: np.ndarray, first_full: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -198,7 +245,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: s
     common.tune(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded, _ = common.written(slim.mapInArrow(_encoder(path, window, end), _ENCODED), "packing-ids")
-    cells, _ = common.written(encoded.groupBy("task", "left").agg(F.count("*").alias("n"), F.sum(F.expr(f"tokens div {window}")).alias("full")), "packing-cells")
+    cells, cells_at = common.written(encoded.groupBy("task", "left").agg(F.count("*").alias("n"), F.sum(F.expr(f"tokens div {window}")).alias("full")), "packing-cells")
     have = np.zeros(window, np.int64)
     full = 0
     for left, n, f in cells.groupBy("left").agg(F.sum("n"), F.sum("full")).collect():  # window rows at most
@@ -208,11 +255,27 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: s
     by_task = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     tasks = cells.groupBy("task").agg(F.sum("full").alias("full")).select("task", F.coalesce(F.sum("full").over(by_task), F.lit(0).cast("long")).alias("task_full"))
     base = cells.select("task", "left", F.coalesce(F.sum("n").over(by_length), F.lit(0).cast("long")).alias("base")).join(tasks, "task")
-    few = cells.count() <= BROADCAST_ROWS
+    base_at = common.place(spark, "packing-base")
+    base.withColumn("grp", F.expr(f"task div {GROUP}")).repartition(common.shuffles(spark), "grp").sortWithinPartitions("grp", "task").write.partitionBy("grp").parquet(base_at)
+    common.discard(cells_at)
+
+    def before_task(task: int) -> tuple[np.ndarray, int]:
+        """(of each length, the rows in tasks before; the whole windows in them)"""
+        t = common.side_tables(base_at, "grp", task // GROUP, [("task", "=", task)])
+        at = np.zeros(window, np.int64)
+        at[t.column("left").to_numpy()] = t.column("base").to_numpy()
+        return at, t.column("task_full")[0].as_py()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, tuple[np.ndarray, int]] = {}
         for b in batches:
-            tokens, rank, before, task_full, at = (T.column(b, c).to_numpy() for c in ("tokens", "rank", "full_before", "task_full", "base"))
+            tokens, rank, before, left, task = (T.column(b, c).to_numpy() for c in ("tokens", "rank", "full_before", "left", "task"))
+            seen = np.unique(task).tolist()
+            of = {k: of.get(k) or before_task(k) for k in seen}
+            at, task_full = np.zeros(len(task), np.int64), np.zeros(len(task), np.int64)
+            for k in seen:
+                own = task == k
+                at[own], task_full[own] = of[k][0][left[own]], of[k][1]
             row, start, length, sequence, offset = pieces(p.value, tokens, before + task_full, rank + at)
             raw = T.column(b, "raw")
             width = sum(len(x.as_buffer()) for x in raw) // max(1, int(tokens.sum())) or 2
@@ -225,5 +288,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: s
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    joined = encoded.join(F.broadcast(base) if few else base, ["task", "left"])
-    return joined.select("doc_id", "raw", "tokens", "rank", "full_before", "task_full", "base").mapInArrow(place, _PIECES + (", ids array<int>" if with_ids else ""))
+    return encoded.select("doc_id", "raw", "tokens", "rank", "full_before", "left", "task").mapInArrow(place, _PIECES + (", ids array<int>" if with_ids else ""))

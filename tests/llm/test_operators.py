@@ -125,12 +125,19 @@ def test_packing_plan_fills_windows():
     rng = np.random.default_rng(1)
     have = np.bincount(rng.integers(1, 256, 20_000), minlength=256)
     p = packing.plan(have, 0, 256)
-    assert p.rest < 0.2 * (have * np.arange(256)).sum() and (p.used <= have).all()
+    assert p.share >= 0.9 and p.rest <= 0.1 * (have * np.arange(256)).sum() and (p.used <= have).all()
 
 
-def test_packing_without_broadcast(spark, rows, monkeypatch):
-    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
-    check_pieces(packing.pack(docs(spark, rows), WORDS, 64, with_ids=True).collect(), rows, 64)
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_packing_plan_of_real_lengths(sf):
+    import pyarrow.parquet as pq
+
+    text = pq.read_table(f"/root/testdata/sf{sf}/documents.parquet")["text"].combine_chunks()
+    n = np.diff(pretokens.WordCoder(WORDS).encode(text, 1)[1])
+    have = np.bincount(n % 2048, minlength=2048)
+    p = packing.plan(have, 0, 2048)
+    have[0] = 0
+    assert p.share >= 0.9 and p.rest + round(p.share * (have * np.arange(2048)).sum()) == (have * np.arange(2048)).sum() and (p.used <= have).all()
 
 
 def test_byte_bpe(spark, rows):
