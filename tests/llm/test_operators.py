@@ -243,6 +243,34 @@ def test_near_duplicates(spark, rows):
     assert kept.columns == docs(spark, EMPTY).columns and kept.where("doc_id is null").count() == 1
 
 
+def families(rng, n, apart):
+    out = []
+    for k in range(n):
+        base = sentence(rng, 120).split()
+        for j in range(4):
+            w = list(base)
+            for _ in range(j):
+                w[rng.randrange(120)] = "edit"
+            out.append((apart * k + j, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("spread", ["least", "all"])
+def test_near_duplicates_by_either_way(spark, monkeypatch, spread):
+    monkeypatch.setattr(simhash, "SHARD", 40)
+    rows, report = families(random.Random(12), 60, 10), {}
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(docs(spark, rows), report=report, spread=spread).collect()}
+    assert got == brute_classes(rows) and report["recall"] >= 0.98 and report["audited"] > 50
+
+
+def test_the_audit_adds_what_the_index_lost(spark, monkeypatch):
+    """With a radius that finds nothing, the audit sees it, the search widens, and audited links are added."""
+    monkeypatch.setattr(simhash, "WIDEST", -100)
+    rows, report = families(random.Random(13), 20, 10), {}
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(docs(spark, rows), report=report, wider=-100).collect()}
+    assert got == brute_classes(rows) and report["recall"] < 0.5  # all 80 documents are audited
+
+
 def test_near_duplicates_in_blocks_and_full_beams(spark, monkeypatch):
     rng = random.Random(2)
     base = sentence(rng, 100).split()
@@ -386,6 +414,20 @@ def test_vector_links_in_a_hot_group(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == low.tolist()
 
 
+def test_vector_links_with_many_pivots(spark):
+    rng = np.random.default_rng(23)
+    n = 10_000
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x[5000:7500] = x[:2500] + 0.2 * rng.normal(size=(2500, 64))
+    x[7500:8500] = x[:1000] + 0.3 * rng.normal(size=(1000, 64))
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(df).collect()}
+    assert want.sum() > 5000 and all(got[i] <= want[i] for i in range(n)) and sum(got.values()) >= 0.98 * want.sum()
+
+
 def test_vectors_few_or_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_duplicates(empty).count() == 0 and quantise.nearest(empty, "vec_id >= 0").count() == 0
@@ -423,6 +465,23 @@ def test_nearest_in_a_hot_group(spark):
         assert sorted(own) == [(n + 1, i, d[i]) for n, i in enumerate(want.tolist())]
 
 
+def test_nearest_of_many_partitions(spark):
+    """Three partitions and more, of which the quantiser's shortlists hold a small part."""
+    rng = np.random.default_rng(29)
+    n = 13_000
+    x = (rng.normal(size=(60, 64))[rng.integers(0, 60, n)] + 0.7 * rng.normal(size=(n, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in quantise.nearest(df, "vec_id % 100 = 0").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x, hit = x.astype(np.float64), 0
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(n), d))[:10].tolist()))
+    assert hit >= 0.95 * 10 * len(got)
+
+
 # 3: licenses
 
 
