@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import choose, conf_rank
+from ..frames import ranked
+from ..schemas import LEVELS, choose, conf_rank
 
 EXTENSIONS = ("sql", "pks", "pkb", "pls", "plb")
 
@@ -92,8 +95,8 @@ def plan(changed: DataFrame, recompiles: DataFrame) -> DataFrame:
     name, position) of objects that no definition covers."""
     a = changed.select(F.lit("Ddl").alias("step"), "owner", "name", choose("kind", _WEIGHT, 12).alias("w"))
     b = recompiles.join(changed.select("owner", "name").distinct(), ["owner", "name"], "left_anti").select(F.lit("Recompile").alias("step"), "owner", "name", (F.col("position") + 100).cast("int").alias("w"))
-    order = Window.partitionBy(F.lit(0)).orderBy("w", "owner", "name", "step")  # a plan is carried out in one sequence
-    return a.unionByName(b).withColumn("ordinal", F.row_number().over(order).cast("long")).select("ordinal", "step", "owner", "name")
+    steps = a.unionByName(b).withColumn("tie", F.monotonically_increasing_id())  # equal steps follow each other
+    return ranked(steps, "ordinal", F.col("w"), F.col("owner").asc_nulls_first(), F.col("name"), F.col("step"), F.col("tie")).select("ordinal", "step", "owner", "name")
 
 
 def risk(changed: DataFrame) -> DataFrame:
@@ -149,3 +152,35 @@ def pr_comment(failures: DataFrame, marker: str) -> DataFrame:
 def existing_comment(comments: DataFrame, marker: str) -> DataFrame:
     """The first comment (comment_id, body) that holds the marker."""
     return comments.where(F.contains("body", F.lit(f"<!-- {marker} -->"))).agg(F.min("comment_id").alias("comment_id")).where("comment_id is not null")
+
+
+REASONS = ("DynamicSqlOpaque", "DbLinkRemoteObject", "WrappedSource", "MissingCatalogObject", "MissingPackageBody", "ConditionalCompilationBranch", "EditionedObject", "InvokerRightsRuntimeResolution", "RuntimeGrantOrRole", "UnsupportedDialectFeature", "ParserRecoveryRegion", "AnalysisRecursionLimit", "ResponseSanitized")
+
+
+def parse_policy(text: str) -> dict:
+    """The arguments of a gate from its TOML. Unknown keys, wrong types and reasons that nothing ever
+    gives are a ValueError: a rule that can't fire must not look like one that passed."""
+    try:
+        raw = tomllib.loads(text)
+    except tomllib.TOMLDecodeError as e:
+        raise ValueError(f"policy: {e}") from None
+    out: dict = {"max_invalidations": None, "blocked_kinds": (), "min_confidence": None, "blocking_reasons": ()}
+    for k, v in raw.items():
+        lists = {"blocked_kinds": "blocked_kinds", "blocking_unknown_reasons": "blocking_reasons"}
+        if k == "max_invalidations" and isinstance(v, int) and not isinstance(v, bool) and v >= 0:
+            out[k] = v
+        elif k == "min_confidence" and isinstance(v, str) and v.capitalize() in LEVELS:
+            out[k] = v.capitalize()
+        elif k in lists and isinstance(v, list) and all(isinstance(x, str) for x in v):
+            out[lists[k]] = tuple(v)
+        else:
+            raise ValueError(f"policy: {k} = {v!r}")
+    for r in out["blocking_reasons"]:
+        if r not in REASONS:
+            raise ValueError(f"policy: unknown reason {r}; known are {', '.join(REASONS)}")
+    return out
+
+
+def sorted_predictions(invalidations: DataFrame) -> DataFrame:
+    """Nearest first, then by owner, name and type."""
+    return invalidations.orderBy("distance", "owner", "name", "object_type")

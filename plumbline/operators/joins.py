@@ -138,7 +138,7 @@ def rename_pairs(dropped: DataFrame, created: DataFrame, hints: DataFrame) -> Da
     old_id, new_id, similarity): explicit ones before persistent ids before similarities of 70 or more;
     each end is used once, the earlier hint first. A hint is taken when no better one wants its ends;
     rounds go on until none is left."""
-    from ..plans.tables import cut
+    from ..frames import cut
 
     rank = F.when(F.col("source") == "explicit", 1).when(F.col("source") == "persistent", 2).otherwise(3)
     h = hints.where("source <> 'git' or similarity >= 70").select("old_id", "new_id", "source", F.struct(rank.alias("r"), "seq").alias("o"))
@@ -151,3 +151,50 @@ def rename_pairs(dropped: DataFrame, created: DataFrame, hints: DataFrame) -> Da
         done = got if done is None else done.unionByName(got)
         h = cut(h.join(got.select("old_id"), "old_id", "left_anti").join(got.select("new_id"), "new_id", "left_anti"))
     return done if done is not None else h.select("old_id", "new_id", "source")
+
+
+ANCHOR = r"^\s*(?:\"?([A-Za-z0-9_$#]+)\"?\s*\.\s*)?(?:\"?([A-Za-z0-9_$#]+)\"?\s*\.\s*)?\"?([A-Za-z0-9_$#]+)\"?\s*%\s*(TYPE|ROWTYPE)\s*$"
+
+
+def anchors(wanted: DataFrame, declared: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(anchor, kind, type, origin) of anchored types: a column's type (%TYPE) or a row's columns in
+    order (%ROWTYPE), from declarations in the source first, from the catalog else. declared and
+    catalog: (owner, object, column, position, type_name), owner may be null; a variable is an object without a column.
+    An anchor of another form is Unsupported, one that nothing declares Unresolved."""
+    up = F.upper(F.trim("anchor"))
+    part = lambda i: F.nullif(F.regexp_extract(up, ANCHOR, i), F.lit(""))
+    w = wanted.select("anchor").distinct().select("anchor", part(1).alias("p1"), part(2).alias("p2"), part(3).alias("p3"), part(4).alias("form"))
+    row = F.col("form") == "ROWTYPE"
+    w = w.withColumns({"column": F.when(~row & F.coalesce("p1", "p2").isNotNull(), F.col("p3")), "object": F.when(row | F.coalesce("p1", "p2").isNull(), F.col("p3")).otherwise(F.coalesce("p2", "p1")), "schema": F.when(row, F.coalesce("p1", "p2")).when(F.col("p1").isNotNull() & F.col("p2").isNotNull(), F.col("p1"))})
+    w = w.withColumn("form", F.when(row & F.col("p1").isNotNull() & F.col("p2").isNotNull(), None).otherwise(F.col("form")))
+    both = declared.withColumn("rank", F.lit(0)).unionByName(catalog.withColumn("rank", F.lit(1)))
+    d = both.select(F.upper("owner").alias("d_owner"), F.upper("object").alias("object"), F.upper("column").alias("d_column"), "position", "type_name", "rank")
+    on = (w["object"] == d["object"]) & (w["schema"].isNull() | d["d_owner"].isNull() | (w["schema"] == d["d_owner"])) & F.when(w["form"] == "ROWTYPE", d["d_column"].isNotNull()).otherwise(d["d_column"].eqNullSafe(w["column"]))
+    j = w.join(d, on, "left").groupBy("anchor", "form", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("position", "d_column", "type_name"))), lambda x: F.when(x["d_column"].isNull() | (F.col("form") == "TYPE"), x["type_name"]).otherwise(F.concat_ws(" ", x["d_column"], x["type_name"]))), ", ").alias("type"))
+    best = j.groupBy("anchor", "form").agg(F.min_by("type", F.coalesce("rank", F.lit(9))).alias("type"), F.min("rank").alias("rank"))
+    kind = F.when(F.col("form").isNull(), "Unsupported").when(F.col("rank").isNull(), "Unresolved").when(F.col("form") == "ROWTYPE", "Row").otherwise("Column")
+    origin = F.when(F.col("form").isNull(), None).when(F.col("rank") == 0, "source").when(F.col("rank") == 1, "catalog")
+    return best.select("anchor", kind.alias("kind"), F.when(origin.isNotNull(), F.col("type")).alias("type"), origin.alias("origin"))
+
+
+def taint_of(flows: DataFrame, returns: DataFrame) -> DataFrame:
+    """(unit, name, kinds, cleansed, tainted) of names: kinds of taint that reach a name in its unit (flows:
+    unit, name, kinds, cleansed as lists) or that a called routine's return brings to it (returns: unit, name, kinds).
+    A name is tainted while it has a kind and nothing has cleansed it."""
+    a = flows.select("unit", "name", "kinds", "cleansed").unionByName(returns.select("unit", "name", "kinds", F.array().cast("array<string>").alias("cleansed")))
+    g = a.groupBy("unit", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cleansed")))).alias("c"))
+    return g.select("unit", "name", F.array_join("k", ",").alias("kinds"), F.array_join("c", ",").alias("cleansed"), ((F.size("k") > 0) & (F.size("c") == 0)).alias("tainted"))
+
+
+def customer_report(checked: DataFrame) -> DataFrame:
+    """(bucket, n, share): a cross-check's buckets by the names that readers of a report know, with their
+    share of all rows in percent, to two places."""
+    names = {"match": "Confirmed", "extra": "Only in source", "catalog_only": "Only in dictionary", "kind_mismatch": "Differs", "expected_gap": "Expected gap"}
+    b = checked.select(F.coalesce(*(F.when(F.lower("bucket") == k, v) for k, v in names.items()), F.col("bucket")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    total = b.agg(F.sum("n").alias("t"))
+    return b.crossJoin(F.broadcast(total)).select("bucket", "n", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 2).alias("share"))  # one row
+
+
+def cross_check_summary(checked: DataFrame) -> DataFrame:
+    """(bucket, n) of a cross-check."""
+    return checked.groupBy("bucket").agg(F.count("*").alias("n"))

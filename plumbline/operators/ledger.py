@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
+
 GENESIS = "0" * 64
 
 
@@ -58,10 +61,69 @@ def accretion_index(runs: DataFrame) -> DataFrame:
 
 
 def chain(entries: DataFrame, by: str) -> DataFrame:
-    """Each entry (seq, body) with the hash of the one before, within each ledger."""
-    w = Window.partitionBy(by).orderBy("seq")
-    h = F.sha2("body", 256)
-    return entries.withColumns({"entry_hash": h}).withColumn("parent_hash", F.lag("entry_hash", 1, GENESIS).over(w))
+    """Entries (seq, body) as hash chains, one a ledger: parent_entry_id is the id of the entry before,
+    entry_id the hash of parent and body, so that a change of one entry changes all behind it. An entry
+    that repeats the one before it is none (appending what is at the tip changes nothing). A chain is made in its own
+    order and so by one fold: a ledger goes to one task, its bodies as digests."""
+    slim = entries.select(F.col(by).alias("ledger"), "seq", "body")
+    before = F.lag("body").over(Window.partitionBy("ledger").orderBy("seq"))
+    slim = slim.withColumn("tip", before).where(F.col("tip").isNull() | (F.col("tip") != F.col("body"))).drop("tip")
+    ship(entries.sparkSession)
+
+    def fold(batches):
+        import hashlib
+
+        last, ledger = GENESIS, None
+        for p in batches:
+            out = []
+            for k, body in zip(p["ledger"], p["body"]):
+                if k != ledger:
+                    last, ledger = GENESIS, k
+                parent, last = last, hashlib.sha256((last + body).encode()).hexdigest()
+                out.append((parent, last))
+            yield p.assign(parent_entry_id=[a for a, _ in out], entry_id=[b for _, b in out])
+
+    types = dict(entries.dtypes)
+    rows = slim.repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(fold, f"ledger {types[by]}, seq {types['seq']}, body string, parent_entry_id string, entry_id string")
+    return rows.withColumnRenamed("ledger", by)
+
+
+def append_entries(ledger: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """A ledger (seq, body, ...) and new entries (seq, body) behind it, as one chain."""
+    return chain(ledger.select(by, "seq", "body").unionByName(new.select(by, "seq", "body")), by)
+
+
+def put_blobs(bodies: DataFrame, uri: str) -> None:
+    """Store bodies (strategy, body) that the folder doesn't hold yet, by strategy and digest."""
+    spark = bodies.sparkSession
+    b = blobs(bodies)
+    try:
+        b = b.join(spark.read.parquet(uri).select("strategy", "digest"), ["strategy", "digest"], "left_anti")
+    except AnalysisException:  # nothing stored yet
+        pass
+    b.write.mode("append").partitionBy("strategy").parquet(uri)
+
+
+def get_blobs(wanted: DataFrame, uri: str) -> DataFrame:
+    """(strategy, digest, body) of digests (strategy, digest); body is null for those not stored."""
+    return wanted.join(wanted.sparkSession.read.parquet(uri), ["strategy", "digest"], "left").select("strategy", "digest", "body")
+
+
+def put_facts(facts: DataFrame, uri: str) -> None:
+    """A repository of minted facts in a folder, each once, by kind."""
+    spark = facts.sparkSession
+    new = facts.dropDuplicates(["fact_id"])
+    try:
+        new = append(spark.read.parquet(uri), new)
+    except AnalysisException:
+        pass
+    new.write.mode("append").partitionBy("kind").parquet(uri)
+
+
+def get_facts(spark, uri: str, kind: str | None = None) -> DataFrame:
+    """Stored facts; those of one kind are read from its folder alone."""
+    f = spark.read.parquet(uri)
+    return f if kind is None else f.where(F.col("kind") == kind)
 
 
 def verify(entries: DataFrame, by: str) -> DataFrame:

@@ -145,3 +145,41 @@ def junit_cases(findings: DataFrame) -> DataFrame:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return findings.select("fingerprint", F.concat(F.lit('<testcase classname="'), "rule_id", F.lit('" name="'), "unit", F.lit('"><failure type="'), "severity", F.lit('" message="'), x, F.lit('"/></testcase>')).alias("line"))
+
+
+def sarif_document(findings: DataFrame, tool: str = "plumbline", version: str = "1.0.0") -> DataFrame:
+    """(part, ordinal, text): a whole SARIF 2.1.0 log by lines: head with the rules that occur, a line a
+    result in the order of rule, unit and fingerprint, foot. Lines joined in order are one JSON document; none is joined here."""
+    rules = findings.select("rule_id").distinct()
+    # a row a rule: there are some twenty
+    names = rules.agg(F.to_json(F.transform(F.array_sort(F.collect_list("rule_id")), lambda r: F.struct(r.alias("id")))).alias("r"))
+    open_ = F.concat(F.lit(f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","version":"{version}","rules":'), F.coalesce("r", F.lit("[]")), F.lit('}},"results":['))
+    order = F.concat_ws("|", "rule_id", "unit", "fingerprint")
+    first = findings.agg(F.min(order).alias("least"))
+    r = F.struct(
+        F.col("rule_id").alias("ruleId"),
+        choose("severity", _SARIF, "note").alias("level"),
+        F.struct(F.col("message").alias("text")).alias("message"),
+        F.array(F.struct(F.struct(F.struct(F.col("unit").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"),
+        F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"),
+    )
+    body = findings.select(order.alias("ordinal"), F.to_json(r).alias("j")).crossJoin(F.broadcast(first))  # one row
+    lines = body.select(F.lit(1).alias("part"), "ordinal", F.concat(F.when(F.col("ordinal") == F.col("least"), "").otherwise(","), "j").alias("text"))
+    head = names.select(F.lit(0).alias("part"), F.lit("").alias("ordinal"), open_.alias("text"))
+    foot = names.select(F.lit(2).alias("part"), F.lit("").alias("ordinal"), F.lit("]}]}").alias("text"))
+    return head.unionByName(lines).unionByName(foot)
+
+
+def junit_document(findings: DataFrame, tool: str = "plumbline") -> DataFrame:
+    """(part, ordinal, text): the same as JUnit XML, a suite with a failed case a finding, and its number of them."""
+    n = findings.agg(F.count("*").cast("string").alias("n"))
+    head = n.select(F.lit(0).alias("part"), F.lit("").alias("ordinal"), F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><testsuites><testsuite name="{tool}" tests="'), "n", F.lit('" failures="'), "n", F.lit('">')).alias("text"))
+    foot = n.select(F.lit(2).alias("part"), F.lit("").alias("ordinal"), F.lit("</testsuite></testsuites>").alias("text"))
+    order = findings.select("fingerprint", F.concat_ws("|", "rule_id", "unit", "fingerprint").alias("ordinal"))
+    lines = junit_cases(findings).join(order, "fingerprint").select(F.lit(1).alias("part"), "ordinal", F.col("line").alias("text"))
+    return head.unionByName(lines).unionByName(foot)
+
+
+def build_baseline(findings: DataFrame) -> DataFrame:
+    """(accepted): the fingerprints of a scan, each once, in order."""
+    return findings.select(F.col("fingerprint").alias("accepted")).distinct().orderBy("accepted")

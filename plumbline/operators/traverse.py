@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..frames import cut, ranked
 from ..schemas import tier
 
 TASK_EDGES = 2_000_000
@@ -76,27 +76,24 @@ def impact_edges(edges: DataFrame, start: DataFrame, max_depth: int | None = Non
 
 def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
     """(step, node_id, edge_id) from start to goal, edge_id the edge taken to get there; no rows if
-    there is no path. Of equal lengths, the path by queue order, then smaller edge ids, wins."""
+    there is no path. Of equal lengths, the path by queue order, then smaller edge ids, wins: in the queue
+    of a level, nodes stand in the order of the edge ids by which they were first reached, so the
+    smallest list of edge ids is each node's own, and no level needs a rank of all its nodes."""
     spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, None, None, 0, 0)], "node_id long, parent long, edge_id long, depth int, place long"))
-    frontier, depth, found = seen, 0, start == goal
+    none = spark.createDataFrame([], "step int, node_id long, edge_id long")
+    seen = cut(spark.createDataFrame([(start, [])], "node_id long, path array<long>"))
+    frontier, found = seen, start == goal
     while not found:
-        depth += 1
-        out = edges.select("src", "dst", F.col("edge_id").alias("e")).join(frontier.select("node_id", "place"), F.col("src") == F.col("node_id")).drop("node_id")
-        new = out.groupBy(F.col("dst").alias("node_id")).agg(F.min(F.struct("place", "e", "src")).alias("b")).join(seen, "node_id", "left_anti")
-        order = Window.partitionBy(F.lit(0)).orderBy("b.place", "b.e")
-        frontier = cut(new.select("node_id", F.col("b.src").alias("parent"), F.col("b.e").alias("edge_id"), F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("place")))
+        out = edges.select("src", "dst", F.col("edge_id").alias("e")).join(frontier, F.col("src") == F.col("node_id"))
+        new = out.groupBy("dst").agg(F.min(F.concat("path", F.array("e"))).alias("path")).select(F.col("dst").alias("node_id"), "path")
+        frontier = cut(new.join(seen.select("node_id"), "node_id", "left_anti"))
         if not frontier.take(1):
-            return spark.createDataFrame([], "step int, node_id long, edge_id long")
+            return none
         found = bool(frontier.where(F.col("node_id") == goal).take(1))
         seen = seen.unionByName(frontier)
-    path, node = [], goal
-    while True:  # back along the path, a row a step
-        row = seen.where(F.col("node_id") == node).first()
-        path.append((row["depth"], node, row["edge_id"]))
-        if row["parent"] is None:
-            return spark.createDataFrame(path[::-1], "step int, node_id long, edge_id long")
-        node = row["parent"]
+    path = frontier.where(F.col("node_id") == goal).select(F.posexplode("path").alias("i", "edge_id"))
+    steps = path.join(edges.select("edge_id", "dst"), "edge_id").select((F.col("i") + 1).alias("step"), F.col("dst").alias("node_id"), "edge_id")
+    return spark.createDataFrame([(0, start, None)], none.schema).unionByName(steps)
 
 
 def unsafe_paths(edges: DataFrame, start: int, goal: int, max_depth: int = 8, max_paths: int = 100) -> DataFrame:
@@ -274,7 +271,7 @@ def recompile_order(edges: DataFrame, nodes: DataFrame, task_edges: int = TASK_E
             ready = ready.join(last, "src", "left")
         else:
             ready = ready.withColumn("p", F.lit(0))
-        ready = cut(ready.select(F.col("src").alias("node_id"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "src")) + n).cast("long").alias("position")))
+        ready = cut(ranked(ready.select(F.col("src").alias("node_id"), "p"), "position", "p", "node_id", start=n).select("node_id", "position"))
         m = ready.count()
         if not m:
             break

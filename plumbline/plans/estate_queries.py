@@ -80,7 +80,11 @@ def cross_check(s, d):
 
 
 def cross_check_summary(s, d):
-    return _checked(s, d).groupBy("bucket").agg(F.count("*").alias("n"))
+    return J.cross_check_summary(_checked(s, d))
+
+
+def customer_report(s, d):
+    return J.customer_report(_checked(s, d))
 
 
 def dir_diff(s, d):
@@ -275,7 +279,7 @@ def lineage_uncertainties(s, d):
 
 def deployment_plan(s, d):
     re = table(s, d, "nation").select(F.lit("APP").alias("owner"), F.concat(F.lit("P"), F.col("n_nationkey") * 11).alias("name"), F.col("n_nationkey").alias("position"))
-    return H.plan(_changed(s, d).where("name < 'P15'"), re)
+    return H.plan(_changed(s, d), re)
 
 
 def change_risk(s, d):
@@ -300,7 +304,7 @@ def pr_comment(s, d):
 
 def ledger_chain(s, d):
     o = table(s, d, "orders")
-    return G.chain(o.select((F.col("o_custkey") % 50).alias("ledger"), F.col("o_orderkey").alias("seq"), F.concat_ws("/", "o_orderkey", "o_orderstatus").alias("body")), "ledger").select("ledger", "seq", "entry_hash", "parent_hash")
+    return G.chain(o.select((F.col("o_custkey") % 50).alias("ledger"), F.col("o_orderkey").alias("seq"), F.concat_ws("/", "o_orderkey", "o_orderstatus").alias("body")), "ledger").select("ledger", "seq", "entry_id", "parent_entry_id")
 
 
 def ledger_problems(s, d):
@@ -490,6 +494,8 @@ SQL = {
     "site_summary": f"""WITH {_SITES} SELECT count(*) FILTER (WHERE bucket = 'agreed') AS agreed, count(*) FILTER (WHERE bucket = 'mismatched') AS mismatched, count(*) FILTER (WHERE bucket = 'our_unknown_target') AS our_unknown_target, count(*) FILTER (WHERE bucket = 'their_unknown_target') AS their_unknown_target, count(*) FILTER (WHERE bucket = 'our_only') AS our_only, count(*) FILTER (WHERE bucket = 'their_only') AS their_only,
 round(count(*) FILTER (WHERE bucket = 'agreed') / count(*) FILTER (WHERE bucket NOT LIKE '%only')::DOUBLE, 6) AS agreement_rate FROM sd""",
     "cross_check": f"WITH {_CHECK} SELECT * FROM cc",
+    "customer_report": f"""WITH {_CHECK}, g AS (SELECT CASE bucket WHEN 'match' THEN 'Confirmed' WHEN 'extra' THEN 'Only in source' WHEN 'catalog_only' THEN 'Only in dictionary' WHEN 'kind_mismatch' THEN 'Differs' WHEN 'expected_gap' THEN 'Expected gap' END AS bucket, count(*) AS n FROM cc GROUP BY 1)
+SELECT bucket, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS share FROM g""",
     "cross_check_summary": f"WITH {_CHECK} SELECT bucket, count(*) AS n FROM cc GROUP BY bucket",
     "dir_diff": "SELECT 'src/f' || o_orderkey AS rel_path, CASE WHEN o_orderkey % 10 = 9 THEN 'Created' WHEN o_orderkey % 10 = 0 THEN 'Dropped' ELSE 'Body' END AS change FROM orders WHERE o_orderkey % 10 IN (0, 9) OR o_orderkey % 4 = 0",
     "resolved_references": """WITH dc AS (SELECT c_custkey AS id, 'S' || c_nationkey % 5 AS s, CASE WHEN c_custkey % 3 = 0 THEN 'K' || c_custkey % 7 END AS p, 'N' || c_custkey % 40 AS n FROM customer), sy AS (SELECT 'N' || n_nationkey + 40 AS n, 'S' || n_nationkey % 5 AS s, 'N' || n_nationkey AS t FROM nation),
@@ -526,13 +532,16 @@ SELECT 'R' || r AS routine, CASE WHEN max(CASE WHEN p = 0 THEN t END) IS NOT NUL
     "lifecycle": f"WITH {_CH} SELECT owner, name, reason, category, reason IN ('TableDestructive', 'PackageSpecChanged') AS warning FROM pr",
     "predicted_with_lineage": f"WITH {_CH}, {_LIN} SELECT owner, name, object_type, reason, confidence, distance FROM pr UNION ALL SELECT 'APP', name, 'VIEW', 'Transitive', confidence, hops FROM fr WHERE r = 1",
     "lineage_uncertainties": f"WITH {_CH}, {_LIN} SELECT 'L' || k AS logical_id, 'MissingCatalogObject' AS reason FROM im WHERE name IS NULL",
-    "deployment_plan": f"""WITH {_CH}, c AS (SELECT owner, name, CASE kind WHEN 'TableAdditiveDdl' THEN 2 WHEN 'TableDestructiveDdl' THEN 2 WHEN 'ViewDefinitionChange' THEN 3 WHEN 'PackageSpec' THEN 4 WHEN 'PackageBody' THEN 5 WHEN 'StandaloneRoutineSignature' THEN 6 WHEN 'TriggerChange' THEN 7 WHEN 'SynonymRetargeting' THEN 8 WHEN 'IndexChange' THEN 9 WHEN 'GrantOrRevoke' THEN 10 WHEN 'Unclassified' THEN 13 ELSE 12 END AS w, 'Ddl' AS step FROM ch WHERE name < 'P15'),
+    "deployment_plan": f"""WITH {_CH}, c AS (SELECT owner, name, CASE kind WHEN 'TableAdditiveDdl' THEN 2 WHEN 'TableDestructiveDdl' THEN 2 WHEN 'ViewDefinitionChange' THEN 3 WHEN 'PackageSpec' THEN 4 WHEN 'PackageBody' THEN 5 WHEN 'StandaloneRoutineSignature' THEN 6 WHEN 'TriggerChange' THEN 7 WHEN 'SynonymRetargeting' THEN 8 WHEN 'IndexChange' THEN 9 WHEN 'GrantOrRevoke' THEN 10 WHEN 'Unclassified' THEN 13 ELSE 12 END AS w, 'Ddl' AS step FROM ch),
 x AS (SELECT * FROM c UNION ALL SELECT 'APP', 'P' || n_nationkey * 11, n_nationkey + 100, 'Recompile' FROM nation WHERE ('P' || n_nationkey * 11) NOT IN (SELECT name FROM c WHERE owner = 'APP'))
 SELECT row_number() OVER (ORDER BY w, owner NULLS FIRST, name, step) AS ordinal, step, owner, name FROM x""",
     "change_risk": "SELECT 'High' AS risk",
     "gate_failures": f"""WITH {_CH} SELECT 'InvalidationsExceeded' AS failure, '10' AS subject, count(*) AS observed FROM pr HAVING count(*) > 10 UNION ALL SELECT 'BlockedKindHit', object_type, count(*) FROM pr WHERE object_type IN ('TABLE', 'SYNONYM') GROUP BY object_type
 UNION ALL SELECT 'ConfidenceBelowFloor', 'High', count(*) FROM pr UNION ALL SELECT 'BlockingUnknownReasonHit', reason, count(*) FROM un WHERE reason = 'MissingCatalogObject' GROUP BY reason""",
-    "ledger_chain": f"""WITH e AS (SELECT o_custkey % 50 AS ledger, o_orderkey AS seq, sha256(o_orderkey || '/' || o_orderstatus) AS entry_hash FROM orders) SELECT ledger, seq, entry_hash, coalesce(lag(entry_hash) OVER (PARTITION BY ledger ORDER BY seq), '{G.GENESIS}') AS parent_hash FROM e""",
+    "ledger_chain": f"""WITH RECURSIVE e AS (SELECT o_custkey % 50 AS ledger, o_orderkey AS seq, o_orderkey || '/' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders),
+w(ledger, i, seq, parent_entry_id, entry_id) AS (SELECT ledger, i, seq, '{G.GENESIS}', sha256('{G.GENESIS}' || body) FROM e WHERE i = 1
+UNION ALL SELECT e.ledger, e.i, e.seq, w.entry_id, sha256(w.entry_id || e.body) FROM w JOIN e ON e.ledger = w.ledger AND e.i = w.i + 1)
+SELECT ledger, seq, entry_id, parent_entry_id FROM w""",
     "ledger_problems": "SELECT o_custkey % 50 AS ledger, o_orderkey AS seq, CASE WHEN o_orderkey % 17 = 0 THEN 'ParentMismatch' ELSE 'IdMismatch' END AS problem FROM orders",
     "tripwire": """WITH v AS (SELECT o_custkey % 50 AS ledger, o_orderkey AS seq, round(o_totalprice, 2) AS value FROM orders), w AS (SELECT *, max(value) OVER (PARTITION BY ledger ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM v) SELECT * FROM w WHERE value < best""",
     "gap_clusters": """WITH g AS (SELECT 's' || l_partkey % 40 AS signature, 'D' || l_partkey % 3 AS dc, CASE WHEN l_partkey % 2 = 0 THEN 'r' END AS rp, l_quantity::BIGINT AS n, 'c' || l_suppkey % 90 AS cm, l_orderkey AS f, l_linenumber = 1 AS ok FROM lineitem),
@@ -565,4 +574,4 @@ SELECT doc_id AS unit, sha256(text) AS before, sha256(t3) AS after, strlen(text)
 SELECT word, name AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, name) AS r FROM j WHERE d <= 2) WHERE r = 1""",
     "escaped_labels": """SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml, sha256(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')) AS label FROM documents""",
 }
-QUERIES = [minted_facts, facts_of_kind, fact_kinds, appended_facts, fact_edges, blob_stats, site_diff, site_summary, cross_check, cross_check_summary, dir_diff, resolved_references, propagated_taint, bound_overloads, rename_pairs, catalog_objects, catalog_doctor, constraint_kinds, catalog_indexes, catalog_routines, classified_grants, privilege_model, cross_schema_grants, ambiguity_feed, privilege_doctor, synonym_paths, accessible_by, authid_modes, plscope_availability, name_status, changed_objects, predicted, change_uncertainties, change_doctor, impact_by_type, lifecycle, predicted_with_lineage, lineage_uncertainties, deployment_plan, change_risk, gate_failures, pr_comment, ledger_chain, ledger_problems, tripwire, gap_clusters, accretion_index, posture, symbol_doctor, doc_coverage, undocumented_sample, bindings_coverage, mapped_types, memory_profile, routine_tables, value_sets, merged_env, parse_metrics, literal_classes, document_line_classes, redaction_delta, normalised_ddl, overload_names, suggested_names, escaped_labels, scrubbed_units, renamed_units, run_ids]
+QUERIES = [minted_facts, facts_of_kind, fact_kinds, appended_facts, fact_edges, blob_stats, site_diff, site_summary, cross_check, cross_check_summary, customer_report, dir_diff, resolved_references, propagated_taint, bound_overloads, rename_pairs, catalog_objects, catalog_doctor, constraint_kinds, catalog_indexes, catalog_routines, classified_grants, privilege_model, cross_schema_grants, ambiguity_feed, privilege_doctor, synonym_paths, accessible_by, authid_modes, plscope_availability, name_status, changed_objects, predicted, change_uncertainties, change_doctor, impact_by_type, lifecycle, predicted_with_lineage, lineage_uncertainties, deployment_plan, change_risk, gate_failures, pr_comment, ledger_chain, ledger_problems, tripwire, gap_clusters, accretion_index, posture, symbol_doctor, doc_coverage, undocumented_sample, bindings_coverage, mapped_types, memory_profile, routine_tables, value_sets, merged_env, parse_metrics, literal_classes, document_line_classes, redaction_delta, normalised_ddl, overload_names, suggested_names, escaped_labels, scrubbed_units, renamed_units, run_ids]

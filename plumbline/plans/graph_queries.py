@@ -73,7 +73,7 @@ def recompile_order(s, d):
 
 def recompile_leftovers(s, d):
     ring = C.ring(s, d)
-    nodes = ring.select(F.col("src").alias("node_id")).where("node_id < 75")
+    nodes = ring.select(F.col("src").alias("node_id")).union(ring.select("dst"))
     return V.recompile_order(ring, nodes).where("position is null").select("node_id")
 
 
@@ -213,9 +213,9 @@ SELECT s AS node_id, min(n) AS component FROM w WHERE s IN (SELECT s FROM c) GRO
     "cycles": with_ctes("ring", """WITH w(s, n, k) AS (SELECT src, dst, 1 FROM ring UNION ALL SELECT w.s, r.dst, k + 1 FROM w JOIN ring r ON r.src = w.n WHERE k < 150 AND w.n <> w.s),
 c AS (SELECT s, min(n) AS component FROM w WHERE s IN (SELECT s FROM w WHERE n = s) GROUP BY s)
 SELECT component, string_agg(s, ',' ORDER BY s) AS node_ids, string_agg(s * 1000 + dst, ',' ORDER BY s * 1000 + dst) AS edge_ids FROM c JOIN ring ON ring.src = c.s GROUP BY component""", True),
-    "recompile_leftovers": with_ctes("ring", """WITH g AS (SELECT * FROM ring WHERE src < 75 AND dst < 75 AND src <> dst),
-w(s, n, k) AS (SELECT src, dst, 1 FROM g UNION ALL SELECT w.s, g.dst, k + 1 FROM w JOIN g ON g.src = w.n WHERE k < 100)
-SELECT DISTINCT s AS node_id FROM w WHERE k = 100""", True),
+    "recompile_leftovers": with_ctes("ring", """WITH g AS (SELECT DISTINCT src, dst FROM ring WHERE src <> dst),
+w(s, n, k) AS (SELECT src, dst, 1 FROM g UNION SELECT w.s, g.dst, k + 1 FROM w JOIN g ON g.src = w.n WHERE k < 200)
+SELECT DISTINCT s AS node_id FROM w WHERE k = 200""", True),
     "synonym_chains": with_ctes("ring", """WITH l AS (SELECT user_id AS n, CASE WHEN user_id % 13 <> 0 THEN (user_id * 7 + 3) % 150 END AS t FROM users WHERE user_id % 10 <> 0),
 w(s, cur, path, hops, done) AS (SELECT n, n, [n], 0, NULL::VARCHAR FROM l UNION ALL
   SELECT s, CASE WHEN l.n IS NULL THEN cur ELSE l.t END, CASE WHEN l.n IS NULL OR l.t IS NULL THEN path ELSE list_append(path, l.t) END, CASE WHEN l.n IS NULL THEN hops ELSE hops + 1 END,

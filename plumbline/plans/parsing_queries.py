@@ -76,7 +76,9 @@ def wrapped_sources(s, d):
 
 def package_pairs(s, d):
     k = F.col("o_orderkey")
-    f = table(s, d, "orders").select(F.concat(F.lit("src/P"), F.expr("o_orderkey div 3"), F.when(k % 3 == 0, ".pks").when(k % 3 == 1, ".pkb").otherwise(".sql")).alias("rel_path"), F.when(k % 3 == 0, "pks").when(k % 3 == 1, "pkb").otherwise("sql").alias("extension")).where("o_orderkey % 7 > 0")
+    # every seventh file has another extension, so that some pairs lack a half
+    ext = F.when(k % 7 == 0, "vw").when(k % 3 == 0, "pks").when(k % 3 == 1, "pkb").otherwise("sql")
+    f = table(s, d, "orders").select(F.concat(F.lit("src/P"), F.expr("o_orderkey div 3"), F.lit("."), ext).alias("rel_path"), ext.alias("extension"))
     return S.pairs(f)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import estate_queries, graph_queries, parsing_queries, render_queries, text_queries
+from . import estate_queries, graph_queries, lineage_queries, parsing_queries, render_queries, text_queries
 
-MODULES = (graph_queries, text_queries, estate_queries, parsing_queries, render_queries)
+MODULES = (graph_queries, text_queries, estate_queries, lineage_queries, parsing_queries, render_queries)
 
 
 def queries() -> dict:

@@ -1,29 +1,12 @@
-"""Written intermediate tables: iterative plans end their lineage in them."""
+"""The given tables, and written steps for the carriers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..frames import cut, shared
 
-def shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at if ":" in at else "file://" + os.path.abspath(at)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back; a lost executor costs at most this step."""
-    spark = df.sparkSession
-    at = f"{shared(spark).rstrip('/')}/plumbline/step-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+__all__ = ["cut", "shared", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
