@@ -41,11 +41,11 @@ from . import textwords as T
 
 U = np.uint64
 #: Windows that a task holds before it sends them.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bits of a probe's hash that are compared: of 1e13 probes (2**43) one in 2**13 hits by chance.
 PROBE = 56
 #: Tasks whose answers share a folder.
-GROUP = 16
+GROUP = 4
 
 
 def _texts(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str):
