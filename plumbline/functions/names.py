@@ -72,12 +72,26 @@ def doc_tags(units: DataFrame) -> DataFrame:
     return t.select("unit", F.regexp_extract("t", r"^@([a-z]+)", 1).alias("tag"), F.trim(F.regexp_replace("t", r"^@[a-z]+", "")).alias("value"))
 
 
+def _less(w: Column) -> Column:
+    """All strings with one character less."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: i <= F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+
+
 def suggestions(words: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """(word, suggestion) of known names at an edit distance of most at most; blocked by first letter
-    and length, so that no word meets all names."""
-    w = words.select("word", F.lower(F.substring("word", 1, 1)).alias("c"), F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("n"))
-    k = known.select("name", F.lower(F.substring("name", 1, 1)).alias("c"), F.length("name").alias("n"))
-    j = w.join(k, ["c", "n"]).withColumn("d", F.levenshtein(F.lower("word"), F.lower("name"))).where(F.col("d") <= most)
+    """(word, suggestion) of known names at an edit distance of most at most. Words and names meet where both
+    give one string by leaving out most characters or fewer: all within that distance do, and
+    no word meets all names."""
+
+    def left(df: DataFrame, c: str) -> DataFrame:
+        forms = F.array(F.lower(c))
+        every = forms
+        for _ in range(most):
+            forms = F.array_distinct(F.flatten(F.transform(forms, _less)))
+            every = F.concat(every, forms)
+        return df.select(c, F.explode(F.array_distinct(every)).alias("form"))
+
+    j = left(words.select("word").distinct(), "word").join(left(known.select("name").distinct(), "name"), "form").select("word", "name").distinct()
+    j = j.withColumn("d", F.levenshtein(F.lower("word"), F.lower("name"))).where(F.col("d") <= most)
     return j.groupBy("word").agg(F.min(F.struct("d", "name"))["name"].alias("suggestion"))
 
 

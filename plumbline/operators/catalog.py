@@ -105,3 +105,8 @@ def privilege_doctor(p: DataFrame) -> DataFrame:
     """One row: grants by confidence, ambiguous ones, schemas, posture."""
     r = p.agg(F.count("*").alias("grants"), F.count_if(F.col("confidence") == "High").alias("high"), F.count("ambiguity").alias("ambiguous"), F.count_distinct("object_owner").alias("schemas"))
     return r.withColumn("posture", F.when(F.col("grants") == 0, "Unknown").when(F.col("ambiguous") == 0, "Clean").when(F.col("ambiguous") * 2 <= F.col("grants"), "Caution").otherwise("Unknown"))
+
+
+def privilege_facts(grants: DataFrame) -> DataFrame:
+    """(unit, kind, detail) facts for rules: a grant (object, grantee, privilege) as grantee|privilege of its object."""
+    return grants.select(F.col("object").alias("unit"), F.lit("privilege").alias("kind"), F.concat_ws("|", F.upper("grantee"), F.upper("privilege")).alias("detail")).distinct()

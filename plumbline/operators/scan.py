@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 CREDENTIALS = ("password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "token", "credential")
 INSTRUMENTS = ("dbms_application_info", "logger.", "log_pkg", "pkg_log", "dbms_output", "log_error", "log_message", "write_log", "trace(", "debug(", "apex_debug", "instrument")
 SENSITIVE = ("password", "passwd", "secret", "credential", "salary", "payroll", "ssn", "credit", "card", "account", "user", "auth", "token", "key", "private", "personal", "medical", "bank", "tax", "audit")
+BODY_END = r"(?s)\bend\b.*$"
 _ID = r"[a-z0-9_$#.\"]+"
 
 
@@ -25,21 +26,43 @@ def masked(c="text") -> Column:
     return F.regexp_replace(lower(c), r"'(?:[^']|'')*'", "''")
 
 
-def _sites(units: DataFrame, kind: str, when: Column, detail: Column | None = None) -> DataFrame:
-    return units.where(when).select("unit", F.lit(kind).alias("kind"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+class _Gather:
+    """Takes what scanners would do one after the other, to do it in one pass over the texts."""
 
+    def __init__(self) -> None:
+        self.found: list[Column] = []
 
-def _each(units: DataFrame, kind: str, details: Column) -> DataFrame:
-    return units.select("unit", F.lit(kind).alias("kind"), F.explode(F.array_distinct(details)).alias("detail"))
+    def add(self, kind: str, details: Column) -> None:
+        self.found.append(F.transform(details, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("detail"))))
+
+
+def _sites(units, kind: str, when: Column, detail: Column | None = None):
+    detail = F.lit(None).cast("string") if detail is None else detail
+    if isinstance(units, _Gather):
+        return units.add(kind, F.when(when, F.array(detail)))
+    return units.where(when).select("unit", F.lit(kind).alias("kind"), detail.alias("detail"))
+
+
+def _each(units, kind: str, details: Column, once: bool = True):
+    details = F.array_distinct(details) if once else details
+    if isinstance(units, _Gather):
+        return units.add(kind, details)
+    return units.select("unit", F.lit(kind).alias("kind"), F.explode(details).alias("detail"))
 
 
 def exception_handlers(units: DataFrame) -> DataFrame:
     """detail: scope|body, the scope others or a name, the body noop, commit, rollback or other."""
     tail = F.regexp_extract(lower(), r"(?s)\bexception\b(.*)$", 1)
-    parts = F.slice(F.split(tail, r"\bwhen\s+"), 2, 10_000)
-    u = units.select("unit", F.explode(parts).alias("h")).select("unit", F.trim(F.regexp_extract("h", r"(?s)^(.*?)\s+then\b", 1)).alias("scope"), F.trim(F.regexp_replace(F.regexp_extract("h", r"(?s)\bthen\b(.*)$", 1), r"(?s)\bend\b.*$", "")).alias("body"))
-    body = F.when(F.col("body").rlike(r"^(null\s*;?)?$"), "noop").when(F.col("body").rlike(r"\bcommit\b"), "commit").when(F.col("body").rlike(r"\brollback\b"), "rollback").otherwise("other")
-    return u.where("scope <> ''").select("unit", F.lit("exception_handler").alias("kind"), F.concat_ws("|", "scope", body).alias("detail"))
+    parts = F.split(tail, r"\bwhen\s+")
+    parts = F.slice(parts, 2, F.size(parts))
+    scope = lambda h: F.trim(F.regexp_extract(h, r"(?s)^(.*?)\s+then\b", 1))
+
+    def detail(h: Column) -> Column:
+        b = F.trim(F.regexp_replace(F.regexp_extract(h, r"(?s)\bthen\b(.*)$", 1), BODY_END, ""))
+        body = F.when(b.rlike(r"^(null\s*;?)?$"), "noop").when(b.rlike(r"\bcommit\b"), "commit").when(b.rlike(r"\brollback\b"), "rollback").otherwise("other")
+        return F.concat_ws("|", scope(h), body)
+
+    return _each(units, "exception_handler", F.transform(F.filter(parts, lambda h: scope(h) != ""), detail), once=False)
 
 
 def cursor_for_loops(units: DataFrame) -> DataFrame:
@@ -47,7 +70,7 @@ def cursor_for_loops(units: DataFrame) -> DataFrame:
     head = r"\bfor\s+([a-z_][a-z0-9_]*)\s+in\s+(\(\s*select|[a-z_][a-z0-9_]*\s+loop)"
     names = F.regexp_extract_all(masked(), F.lit(head), F.lit(1))
     dml = masked().rlike(r"(?s)\bloop\b.*\b(insert\s+into|update|delete\s+from|merge\s+into)\b.*\bend\s+loop\b")
-    return _each(units.withColumn("text", F.col("text")), "cursor_for_loop", F.transform(names, lambda v: F.concat_ws("|", v, dml.cast("string"))))
+    return _each(units, "cursor_for_loop", F.transform(names, lambda v: F.concat_ws("|", v, dml.cast("string"))))
 
 
 def missing_instrumentation(units: DataFrame) -> DataFrame:
@@ -95,7 +118,7 @@ def deterministic_misuse(units: DataFrame) -> DataFrame:
     t = masked()
     marks = ("sysdate", "systimestamp", "current_timestamp", "dbms_random", ".nextval")
     found = F.array_compact(F.array(F.when(_dml(t), F.lit("dml")), *(F.when(F.contains(t, F.lit(m)), F.lit(m)) for m in marks)))
-    return _each(units.where(F.contains(t, F.lit("deterministic"))), "deterministic_misuse", found)
+    return _each(units, "deterministic_misuse", F.when(F.contains(t, F.lit("deterministic")), found))
 
 
 def mutating_triggers(units: DataFrame) -> DataFrame:
@@ -144,14 +167,21 @@ def db_links(units: DataFrame) -> DataFrame:
     return _each(units, "db_link_reference", F.transform(F.regexp_extract_all(masked(), F.lit(r"([a-z0-9_$#.]+@[a-z0-9_$#]+)"), F.lit(1)), lambda x: F.upper(x)))
 
 
-SCANNERS = (exception_handlers, cursor_for_loops, missing_instrumentation, hardcoded_credentials, invoker_rights, ref_cursor_return, dml_in_function, unbounded_bulk_collect, deprecated_features, deterministic_misuse, mutating_triggers, log_without_reraise, cross_schema_writes, sensitive_synonyms, null_tests_on_indexed, db_links)
+def opaque_sites(units: DataFrame) -> DataFrame:
+    """detail: DBMS_SQL, where statements are built by that package's calls."""
+    return _sites(units, "opacity", F.contains(masked(), F.lit("dbms_sql.")), F.lit("DBMS_SQL"))
+
+
+SCANNERS = (exception_handlers, cursor_for_loops, missing_instrumentation, hardcoded_credentials, invoker_rights, ref_cursor_return, dml_in_function, unbounded_bulk_collect, deprecated_features, deterministic_misuse, mutating_triggers, log_without_reraise, cross_schema_writes, sensitive_synonyms, null_tests_on_indexed, db_links, opaque_sites)
 
 
 def all_sites(units: DataFrame) -> DataFrame:
-    out = None
+    """What all scanners find, in one pass over the texts."""
+    g = _Gather()
     for f in SCANNERS:
-        out = f(units) if out is None else out.unionByName(f(units))
-    return out
+        f(g)
+    none = F.array().cast("array<struct<kind:string,detail:string>>")
+    return units.select("unit", F.inline(F.concat(*(F.coalesce(x, none) for x in g.found))))
 
 
 # embedded SQL
@@ -183,7 +213,7 @@ def table_accesses(stmts: DataFrame) -> DataFrame:
     read, joined, into, using = _after("sql", "FROM"), _after("sql", "JOIN"), _after("sql", "INTO"), _after("sql", "USING")
     target = F.when(v == "UPDATE", F.slice(_after("sql", "UPDATE"), 1, 1)).when(v == "DELETE", F.slice(read, 1, 1)).when(v.isin("INSERT", "MERGE"), F.slice(into, 1, 1)).otherwise(none)
     reads = (
-        F.when(v.isin("SELECT", "WITH"), F.concat(read, joined)).when(v == "INSERT", read).when(v == "UPDATE", read).when(v == "DELETE", F.concat(F.slice(read, 2, 1000), joined)).when(v == "MERGE", F.slice(using, 1, 1)).otherwise(none)
+        F.when(v.isin("SELECT", "WITH"), F.concat(read, joined)).when(v == "INSERT", read).when(v == "UPDATE", read).when(v == "DELETE", F.concat(F.slice(read, 2, F.greatest(F.size(read), F.lit(1))), joined)).when(v == "MERGE", F.slice(using, 1, 1)).otherwise(none)
     )
     both = F.concat(F.transform(F.array_distinct(reads), lambda t: F.struct(t.alias("table"), F.lit("Read").alias("access"))), F.transform(target, lambda t: F.struct(t.alias("table"), F.lit("Write").alias("access"))))
     return stmts.select("stmt_id", F.inline(both)).where("table <> 'DUAL' and table <> ''").distinct()

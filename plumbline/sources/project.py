@@ -235,7 +235,15 @@ def variant_rows(files: DataFrame, key: str = "rel_path") -> DataFrame:
 
 
 def parse_diff(text: str) -> list[tuple[str, str, int, int]]:
-    """(change, path, lines added, removed) of a unified diff; what is no diff is an error with its line."""
+    """(change, path, lines added, removed) of a unified diff. What is no diff is one row, with the change
+    Error and, for the path, the line and what is wrong with it: one bad text doesn't end the others' reading."""
+    try:
+        return _parse_diff(text)
+    except ValueError as e:
+        return [("Error", str(e), 0, 0)]
+
+
+def _parse_diff(text: str) -> list[tuple[str, str, int, int]]:
     out: list[list] = []
     old = None
     left = [0, 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 
@@ -60,29 +61,36 @@ def bodies(text: str) -> list[tuple[int, str, str]]:
     t = blanked(text)
     out, start, depth = [], 0, 0
     source = text or ""
+    line_at, seen = 1, 0
 
     def add(a: int, b: int) -> None:
-        s = source[a:b].strip()
-        if s:
-            line = source.count("\n", 0, a + len(source[a:b]) - len(source[a:b].lstrip())) + 1
-            out.append((line, kind_of(s), s))
-
-    for i, c in enumerate(t):
-        depth += (c == "(") - (c == ")")
-        if c == ";" and depth <= 0:
-            add(start, i)
-            start, depth = i + 1, 0
-        elif depth <= 0:
-            m = re.match(r"\b(then|loop|begin|else|declare|exception)\b", t[i:], re.I) if not i or not (t[i - 1].isalnum() or t[i - 1] in "_$#.") else None
-            if m and not re.search(r"\bend\s*$", t[start:i], re.I):
-                add(start, i + m.end())
-                start = i + m.end()
-        if start > i:
-            continue
+        nonlocal line_at, seen
+        while a < b and source[a].isspace():
+            a += 1
+        if a < b:
+            line_at += source.count("\n", seen, a)
+            seen = a
+            s = source[a:b].rstrip()
+            out.append((line_at, kind_of(s), s))
+
+    for m in _MARKS.finditer(t):
+        x = m.group(0)
+        if x in "()":
+            depth += 1 if x == "(" else -1
+        elif x == ";":
+            if depth <= 0:
+                add(start, m.start())
+                start, depth = m.end(), 0
+        elif depth <= 0 and m.start() >= start and not re.search(r"\bend\s*$", t[max(start, m.start() - 64) : m.start()], re.I):
+            add(start, m.end())
+            start = m.end()
     add(start, len(t))
     return out
 
 
+_MARKS = re.compile(r"[();]|(?<![\w$#.])(?:then|loop|begin|else|declare|exception)\b", re.I)
+
+
 def kind_of(s: str) -> str:
     low = s.lower()
     for kind, p in (
@@ -242,3 +250,13 @@ def flows(units: DataFrame, sources: dict[str, str], key: str = "unit") -> DataF
 
 def tapes(units: DataFrame, key: str = "unit") -> DataFrame:
     return _table(units, lambda t: [(i, *x) for i, x in enumerate(tokens(t))], "ordinal long, kind string, token string, line long, byte_offset long", key)
+
+
+def round_trips(units: DataFrame, key: str = "unit") -> DataFrame:
+    """(text_sha, tokens) of each unit's tokens, put together again where they were made."""
+
+    def rows(t: str) -> list[tuple]:
+        found = tokens(t)
+        return [(hashlib.sha256("".join(x[1] for x in found).encode()).hexdigest(), len(found))]
+
+    return _table(units, rows, "text_sha string, tokens long", key)

@@ -155,3 +155,44 @@ def test_stream_passes_each_fact_once(spark, tmp_path):
     q = T.fact_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("facts_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(r["payload"] for r in spark.table("facts_seen").collect()) == ["a", "b"]
+
+
+def test_a_bad_diff_is_a_row(spark):
+    from plumbline.sources import project
+
+    good = "--- a/x.sql\n+++ b/x.sql\n@@ -1 +1 @@\n-a\n+b\n"
+    df = spark.createDataFrame([("g", good), ("h", "+++ b/x\n"), ("n", None)], "rel_path string, text string")
+    got = sorted(tuple(r) for r in project.diffs(df).collect())
+    assert got == [("g", "Body", "x.sql", 1, 1), ("h", "Error", "line 1: new file without an old one", 0, 0)]
+
+
+def test_statements_keep_their_lines_and_time():
+    import time
+
+    from plumbline.sources import reader
+
+    unit = "begin\n  x := f(a; b);\n  if y then\n    z := 'q;';\n  end if;\nend;\n"
+    assert reader.bodies(unit)[:4] == [(1, "Mark", "begin"), (2, "Assignment", "x := f(a; b)"), (3, "If", "if y then"), (4, "Assignment", "z := 'q;'")]
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert len(reader.bodies(unit * n)) == 6 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5  # four times the text: in proportion, not its square
+
+
+def test_suggestions_reach_the_first_letter(spark):
+    from plumbline.functions import names
+
+    words = spark.createDataFrame([("xmployees",), ("dept",), ("far",), ("e",)], "word string")
+    known = spark.createDataFrame([("EMPLOYEES",), ("DEPTS",), ("ADEPTS",), ("salaries",)], "name string")
+    assert {r["word"]: r["suggestion"] for r in names.suggestions(words, known).collect()} == {"xmployees": "EMPLOYEES", "dept": "DEPTS"}
+
+
+def test_all_scanners_in_one_pass(spark):
+    from plumbline.operators import scan
+    from plumbline.plans.text_units import TEXTS
+
+    units = spark.createDataFrame([(str(i), t.replace("#", str(i))) for i, t in enumerate(TEXTS)] + [("null", None), ("empty", "")], "unit string, text string")
+    apart = sorted((r["unit"], r["kind"], r["detail"] or "") for f in scan.SCANNERS for r in f(units).collect())
+    assert sorted((r["unit"], r["kind"], r["detail"] or "") for r in scan.all_sites(units).collect()) == apart and len({k for _, k, _ in apart}) == len(scan.SCANNERS)
