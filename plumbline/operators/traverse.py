@@ -96,27 +96,93 @@ def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
     return spark.createDataFrame([(0, start, None)], none.schema).unionByName(steps)
 
 
-def unsafe_paths(edges: DataFrame, start: int, goal: int, max_depth: int = 8, max_paths: int = 100) -> DataFrame:
+def _first_unsafe(rows: pd.DataFrame, start: int, goal: int, max_depth: int, max_paths: int) -> list[tuple]:
+    """The first simple paths from start to goal with a bad edge, depth first by edge ids, of edges (edge_id,
+    src, dst, bad). A step is taken only if the goal, and a bad edge if none was yet, can still be had in the steps left."""
+    out: dict[int, list] = {}
+    back: dict[int, list] = {}
+    for e, s, d, bad in sorted(zip(*(rows[c].tolist() for c in ("edge_id", "src", "dst", "bad")))):
+        out.setdefault(s, []).append((e, d, bad))
+        back.setdefault(d, []).append((s, bad))
+    # steps to the goal, without a demand and by a bad edge
+    left = {(goal, False): 0}
+    todo = deque([(goal, False)])
+    while todo:
+        node, done = todo.popleft()
+        for s, bad in back.get(node, ()):
+            for k in {(s, done or bad), (s, done)} if not done else {(s, True)}:
+                if k not in left:
+                    left[k] = left[node, done] + 1
+                    todo.append(k)
+    far = max_depth + 1
+    found: list[tuple] = []
+    path: list[int] = []
+    nodes = [start]
+    on = {start}
+    stack = [(iter(out.get(start, ())), False)]
+    while stack and len(found) < max_paths:
+        rest, had = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            if path:
+                path.pop()
+                on.discard(nodes.pop())
+            continue
+        e, d, bad = step
+        now = had or bad
+        need = min(left.get((d, False), far), left.get((d, True), far)) if now else left.get((d, True), far)
+        if d in on or len(path) + 1 + need > max_depth:
+            continue
+        if d == goal:
+            if now:
+                found.append(([*path, e], [*nodes, d], len(path) + 1))
+            continue
+        path.append(e)
+        nodes.append(d)
+        on.add(d)
+        stack.append((iter(out.get(d, ())), now))
+    return found
+
+
+def unsafe_paths(edges: DataFrame, start: int, goal: int, max_depth: int = 8, max_paths: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
     """(path_ids, node_ids, length) of simple paths that take an edge of dynamic code or unknown
     confidence. Paths end at the goal. If there are more than max_paths, those stay that come first
-    in the order of their edge ids (the feature's own limit)."""
+    in the order of their edge ids (the feature's own limit).
+
+    Edges that lie on no path of that length are left out first. What remains is searched depth first, and
+    only until the limit, in one task if it has task_edges at most; else level by level, where a beginning goes that comes
+    behind as many whole paths as are wanted."""
     e = edges.select("edge_id", "src", "dst", ((F.col("kind") == "OpaqueDynamic") | (tier() == 0)).alias("bad"))
     spark = edges.sparkSession
+    node = lambda n: spark.createDataFrame([(n,)], "node_id long")
+    near = reach(edges, node(goal), False, max_depth)
+    ahead = reach(edges, node(start), True, max_depth)
+    e = e.join(near.select(F.col("node_id").alias("dst"), F.col("hops").alias("left")), "dst").join(ahead.select(F.col("node_id").alias("src"), F.col("hops").alias("gone")), "src")
+    e = cut(e.where(F.col("gone") + 1 + F.col("left") <= max_depth).select("edge_id", "src", "dst", "bad", "left"))
+    columns = "path_ids array<long>, node_ids array<long>, length int"
+    if e.count() <= task_edges:
+
+        def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = list(parts)
+            if got:
+                yield pd.DataFrame(_first_unsafe(pd.concat(got), start, goal, max_depth, max_paths), columns=["path_ids", "node_ids", "length"])
+
+        return e.drop("left").coalesce(1).mapInPandas(one, columns)
     open_ = spark.createDataFrame([([], [start], start, False)], "path_ids array<long>, node_ids array<long>, at long, bad boolean")
-    # only nodes that reach the goal can be on a path
-    near = reach(edges, spark.createDataFrame([(goal,)], "node_id long"), False, max_depth)
-    e = e.join(near.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     done = None
-    for _ in range(max_depth):
-        grown = open_.withColumnRenamed("bad", "was").join(e, F.col("at") == F.col("src")).where(~F.array_contains("node_ids", F.col("dst")))
+    for depth in range(1, max_depth + 1):
+        grown = open_.withColumnRenamed("bad", "was").join(e.where(F.col("left") + depth <= max_depth), F.col("at") == F.col("src")).where(~F.array_contains("node_ids", F.col("dst")))
         grown = cut(grown.select(F.concat("path_ids", F.array("edge_id")).alias("path_ids"), F.concat("node_ids", F.array("dst")).alias("node_ids"), F.col("dst").alias("at"), (F.col("was") | F.col("bad")).alias("bad")))
         ended = grown.where((F.col("at") == goal) & F.col("bad"))
-        done = ended if done is None else done.unionByName(ended)
+        done = cut((ended if done is None else done.unionByName(ended)).orderBy("path_ids").limit(max_paths))
         open_ = grown.where(F.col("at") != goal)
+        last = done.agg(F.count("*"), F.max("path_ids")).first()
+        if last[0] == max_paths:
+            open_ = open_.where(F.col("path_ids") < F.array(*(F.lit(x).cast("long") for x in last[1])))
         if not open_.take(1):
             break
-    kept = done.orderBy("path_ids").limit(max_paths)
-    return kept.select("path_ids", "node_ids", F.size("path_ids").alias("length"))
+    return done.select("path_ids", "node_ids", F.size("path_ids").alias("length"))
 
 
 def _strong(rows: pd.DataFrame) -> pd.DataFrame:

@@ -177,3 +177,59 @@ def test_pages_are_lines_in_order(spark):
     assert "<td>a&lt;</td>" in render.page_text(render.orphans_html(o)).first()["text"]
     got = render.bindings(spark.createDataFrame([("P", "R", None, [("A", "IN", "NUMBER"), ("B", "OUT", "DATE")], "CLOB"), ("P", "S", 2, [], None)], "package string, routine string, overload int, args array<struct<name string, mode string, type string>>, return_type string"))
     assert sorted(r["line"] for r in got.collect()) == ["def r(connection, a: Decimal | None) -> tuple[str, datetime]: ...", "def s_2(connection) -> None: ..."]
+
+
+@pytest.mark.parametrize("task_edges", [1000, 0])
+def test_unsafe_paths_against_enumeration(spark, task_edges):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, rng.randrange(8), rng.randrange(8), "OpaqueDynamic" if rng.random() < 0.2 else "Calls", rng.choice(["High", "High", "Low"]) if seed else "High") for i in rng.sample(range(500), 26)]
+        want = []
+
+        def walk(at, path, nodes, bad):
+            if at == 7 and path:
+                if bad:
+                    want.append((path, nodes, len(path)))
+                return
+            for e, s, d, k, c in sorted(rows):
+                if s == at and d not in nodes and len(path) < 5:
+                    walk(d, [*path, e], [*nodes, d], bad or k == "OpaqueDynamic" or c == "Low")
+
+        walk(0, [], [0], False)
+        df = spark.createDataFrame(rows, "edge_id long, src long, dst long, kind string, conf_level string")
+        got = sorted((list(r["path_ids"]), list(r["node_ids"]), r["length"]) for r in traverse.unsafe_paths(df, 0, 7, 5, 6, task_edges).collect())
+        assert got == want[:6]
+
+
+def test_explained_paths_and_comments(spark):
+    from plumbline.operators import graph
+
+    e = spark.createDataFrame([(1, "High", None), (2, "Low", "by name"), (3, "Medium", None), (4, "Low", "by name")], "edge_id long, conf_level string, evidence string")
+    path = spark.createDataFrame([(0, None), (1, 3), (2, 2), (3, 1), (4, 4)], "step int, edge_id long")
+    r = graph.explain_path(path, e).first()
+    assert (r["length"], r["tier"], r["blockers"]) == (4, "Unknown", ["Medium", "by name"])
+    f = spark.createDataFrame([("BlockedKindHit", "TRIGGER", 2), ("InvalidationsExceeded", "5", 9)], "failure string, subject string, observed long")
+    r = changes.pr_comment(f, "gate").first()
+    assert r["verdict"] == "blocked" and r["body"] == "<!-- gate -->\n**blocked**\n- BlockedKindHit (TRIGGER): 2\n- InvalidationsExceeded (5): 9"
+    assert changes.pr_comment(f.limit(0), "gate").first()["verdict"] == "allowed"
+    comments = spark.createDataFrame([(7, "x"), (9, r["body"]), (8, "y <!-- gate -->")], "comment_id long, body string")
+    assert changes.existing_comment(comments, "gate").first()["comment_id"] == 8 and changes.existing_comment(comments, "other").count() == 0
+
+
+def test_run_ids_and_docs(spark):
+    from plumbline.functions import names
+    from plumbline.sources import reader
+
+    def djb2(paths):
+        h = 5381
+        for b in "".join(p + "\n" for p in sorted(set(paths))).encode():
+            h = (h * 33 + b) % 2**64
+        return f"{h:016x}"
+
+    df = spark.createDataFrame([("r", "b.sql"), ("r", "a.sql"), ("r", "b.sql"), ("s", "é")], "run string, path string")
+    assert {r["run"]: r["run_id"] for r in names.run_id(df, "run").collect()} == {"r": djb2(["a.sql", "b.sql"]), "s": djb2(["é"])}
+    u = spark.createDataFrame([("u", "/** Does it.\n @param x the thing\n*/\ncreate procedure app.p is begin null; end;"), ("v", "create function f return date is begin return sysdate; end;")], "unit string, text string")
+    got = {r["unit"]: r["text"] for r in render.package_docs(reader.declared(u), names.doc_tags(u)).collect()}
+    assert got == {"u": "# u\n\n- procedure `P`\n\n## Tags\n\n- *param* x the thing", "v": "# v\n\n- function `F`"}
