@@ -9,7 +9,8 @@ so a band of one row collides with that probability and BANDS = 24 of them miss
 2e8 (0.45 ** 24). What is retrieved is verified by its words themselves: the share of the template's
 distinct shingles that the window holds, 0.8 or more.
 
-Least hashes of all windows come from one table of minima over 1, 2, 4, ... shingles, so overlap
+A window that holds none of the shingles behind the templates' least hashes can't retrieve; the others'
+least hashes come from one table of minima over 1, 2, 4, ... shingles, so overlap
 costs nothing; a long text is worked through a span of words at a time. Templates are a bounded parameter (MAX_TEMPLATES) and are sent to every task; texts
 are not shuffled.
 
@@ -106,6 +107,8 @@ class Templates:
         # words of a template, repeated shingles included, set its window
         self.span = np.maximum(w.n_words - SHINGLE + 1, 1)
         least = np.array([[T.mix(s ^ x).min() for s in self.sets] for x in _SEEDS], U).reshape(BANDS, -1)
+        # the shingles that have these least hashes: a window without one of them retrieves nothing
+        self.keys = np.unique([s[T.mix(s ^ x).argmin()] for s in self.sets for x in _SEEDS]) if self.sets else np.zeros(0, U)
         self.classes = {}
         for k in np.unique(self.span).tolist():
             own = np.flatnonzero(self.span == k)
@@ -122,21 +125,35 @@ def _matches(w: T.Words, t: Templates, containment: float) -> list[tuple[int, in
     for lo, hi in w.spans():
         # windows that begin in this span, and all that they reach
         h, ok = w.windows(SHINGLE, lo, min(n_words, hi + t.longest))
-        line = np.where(ok, h, _NEVER)
+        hit = ok & np.isin(h, t.keys)
+        if not hit.any():
+            continue
+        before = np.concatenate(([0], np.cumsum(hit)))
         text = w.text_of(lo, hi)
         place = np.arange(lo, hi) - w.first[text]
-        starts = {k: np.flatnonzero(ok[: hi - lo] & (place % max(1, k // 4) == 0)) for k in t.classes}
-        sizes = {k: np.minimum(_reach(k), w.first[text[i] + 1] - lo - i) for k, i in starts.items()}
+        starts, sizes, need = {}, {}, np.zeros(len(h) + 1, np.int32)
+        for k in t.classes:
+            i = np.flatnonzero(ok[: hi - lo] & (place % max(1, k // 4) == 0))
+            n = np.minimum(_reach(k), w.first[text[i] + 1] - lo - i)
+            some = before[i + n] > before[i]
+            starts[k], sizes[k] = i[some], n[some]
+            np.add.at(need, i[some], 1)
+            np.add.at(need, i[some] + n[some], -1)
+        # the windows that are left, side by side; each stays in one piece
+        used = np.cumsum(need[:-1]) > 0
+        at = np.cumsum(used) - 1
+        line = np.where(ok, h, _NEVER)
+        short, there = line[used], ok[used]
         found: set[tuple[int, int]] = set()
-        for band in range(BANDS if len(line) else 0):
-            level = [np.where(ok, T.mix(line ^ _SEEDS[band]), _NEVER)]
+        for band in range(BANDS if len(short) else 0):
+            level = [np.where(there, T.mix(short ^ _SEEDS[band]), _NEVER)]
             while 2 ** len(level) <= t.longest:
                 x, s = level[-1], 2 ** (len(level) - 1)
                 y = x.copy()
                 np.minimum(x[:-s], x[s:], out=y[:-s])
                 level.append(y)
             for k, (own, least) in t.classes.items():
-                i, n = starts[k], sizes[k]
+                i, n = at[starts[k]], sizes[k]
                 low = np.full(len(i), _NEVER)
                 j = logs[n]
                 for v in np.unique(j).tolist():
@@ -145,7 +162,7 @@ def _matches(w: T.Words, t: Templates, containment: float) -> list[tuple[int, in
                 hit = np.flatnonzero(np.isin(low, least[band]))
                 for p in hit.tolist():
                     for c in np.flatnonzero(least[band] == low[p]).tolist():
-                        found.add((int(i[p]), int(own[c])))
+                        found.add((int(starts[k][p]), int(own[c])))
         for p, c in sorted(found):
             stop = min(p + _reach(int(t.span[c])), int(w.first[text[p] + 1]) - lo)
             part = line[p:stop][ok[p:stop]]
