@@ -15,7 +15,7 @@ one shingle, all its words.
    What it finds within the radius are candidates, if the numbers of their shingles and 128-byte
    sketches leave the similarity possible. A beam that is full within the radius is doubled, up to a limit; of nodes still full at the limit the answer is completed by the exact search below.
    A sample of queries in each shard is searched exactly as well, over all its nodes; where one of their pairs isn't among
-   the candidates, the shard is searched with beams twice as wide, and at last exactly.
+   the candidates, the whole shard is searched exactly.
 4. Candidates are verified on their whole texts: first each node's nearest, whose links make
    classes; then all candidates whose ends are in different classes. For nodes whose beams stayed
    full an exact scan of their shards finds every node of another class within the radius. A pair
@@ -332,22 +332,16 @@ def _search(width: int, limit: int, similarity: float, wider: int):
         for t in common.groups(batches, ["route", "shard", "block"]):
             if t.num_rows < 2:
                 continue
-            w = width
-            while True:
-                g, ids, _ = _shard(t, similarity, wider)
-                q, j, d, full = g.run(w, max(limit, w))
-                # the audit: some queries against all nodes before them
-                some = np.flatnonzero(T.mix(ids.view(U).copy()) % U(64) == 0)
-                some = some[~np.isin(some, full)][:64]
-                eq, ej, _ = g.exact(some, np.minimum(some, g.indexed))
-                if np.isin(eq * len(ids) + ej, q.astype(np.int64) * len(ids) + j).all():
-                    break
-                if w >= 4 * width:
-                    every = np.arange(len(ids))
-                    q, j, d = g.exact(every, np.minimum(every, g.indexed))
-                    full = full[:0]
-                    break
-                w *= 2
+            g, ids, _ = _shard(t, similarity, wider)
+            q, j, d, full = g.run(width, limit)
+            # the audit: some queries against all nodes before them
+            some = np.flatnonzero(T.mix(ids.view(U).copy()) % U(64) == 0)
+            some = some[~np.isin(some, full)][:64]
+            eq, ej, _ = g.exact(some, np.minimum(some, g.indexed))
+            if not np.isin(eq * len(ids) + ej, q.astype(np.int64) * len(ids) + j).all():
+                every = np.arange(len(ids))
+                q, j, d = g.exact(every, np.minimum(every, g.indexed))
+                full = full[:0]
             yield _rows(PAIR, ids[q], ids[j], d)
             if len(full):
                 yield _rows(FULL, ids[full], np.zeros(len(full)), np.zeros(len(full)))
