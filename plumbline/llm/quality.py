@@ -64,17 +64,22 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # words by line
     a, z = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
     words = (z - a).astype(np.float64)
-    length = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.float64)
-    long_ = np.concatenate(([0], np.cumsum((w.end - w.start) > 14))).astype(np.float64)
+
+    def sums_of(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x) + 1, np.int32)  # a text has fewer than 2**31 bytes
+        np.cumsum(x, out=out[1:])
+        return out
+
+    size_of = (w.end - w.start).astype(np.int32)
+    length, long_, alone = sums_of(size_of), sums_of(size_of > 14), sums_of(size_of == 1)
     tail = data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
-    noisy = np.concatenate(([0], np.cumsum(_KINDS[4][tail]))).astype(np.float64)
-    marked = np.concatenate(([0], np.cumsum(_KINDS[3][tail]))).astype(np.float64)
-    alone = np.concatenate(([0], np.cumsum(((w.end - w.start) == 1)))).astype(np.float64)
+    noisy, marked = sums_of(_KINDS[4][tail]), sums_of(_KINDS[3][tail])
+    del size_of, tail
     # equal words next to each other, and lines that occur again in their text
     h = w.hash()
-    same = np.zeros(len(h) + 1)
+    same = np.zeros(len(h) + 1, np.int32)
     if len(h) > 1:
-        same[2:] = np.cumsum(h[1:] == h[:-1])
+        np.cumsum(h[1:] == h[:-1], out=same[2:])
     line = np.repeat(np.arange(len(start)), z - a)
     place = T.mix((np.arange(len(h)) - a[line] + 1).astype(U) * T.GOLDEN)
     sums = np.zeros(len(h) + 1, U)

@@ -34,8 +34,8 @@ from . import textwords as T
 BOOKS, WORDS, BEAM, SAMPLE = 16, 128, 8, 10_000
 #: Share of a partition's vectors, and the least number, that are reranked exactly.
 SHARE, SHORTLIST = 0.04, 100
-#: Vectors of a partition scored together, and queries of a block.
-HELD, QUERIES = 60_000, 256
+#: Vectors of a partition scored together, those of a partition, and queries of a block.
+HELD, PART, QUERIES = 60_000, 4096, 256
 
 
 @dataclass
@@ -198,8 +198,8 @@ def nearest(table: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, share
     nodes = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1).groupBy("raw").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index, _ = common.written(nodes.select("ids", "raw").mapInArrow(encode, "ids array<long>, raw binary, codes binary, norm float, residual double"), "quantised")
     _, asked = common.written(rows.where(is_query), "queries")
-    # partitions of the index of HELD vectors or so, so that each query's bests of a partition are few
-    parts = max(1, min(common.shuffles(spark), -(-index.count() // 4096)))
+    # partitions of PART vectors or so, or as many as the cluster's shuffles have; what each finds doesn't depend on it
+    parts = max(1, min(common.shuffles(spark), -(-index.count() // PART)))
     found = index.repartition(parts, "raw").mapInArrow(_search(asked, words, kind, dim, k, share), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
