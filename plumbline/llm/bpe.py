@@ -77,7 +77,7 @@ class ByteCoder:
         self.mph = mph.build(keys)
         self.id = np.zeros(len(keys), np.int32)
         self.id[self.mph.slot(keys)] = [v for _, v in whole]
-        self.cache = pretokens.Cache(self._encode)
+        self.cache = pretokens.Cache(self._encode, 2 * pretokens.KEPT)  # merges in Python are dear
         self.decimal = [str(i) for i in range(len(self.entry))]
 
     def _encode(self, words: list[str]) -> list[list[int]]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from .textwords import trim
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; texts differ widely in length.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -126,6 +127,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
+        trim(b.nbytes)
         if not b.num_rows:
             continue
         cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]

@@ -18,8 +18,8 @@ import regex
 from . import textwords as T
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Distinct pre-tokens kept by a worker; then the cache starts afresh.
-KEPT, KEPT_BYTES = 600_000, 48 << 20
+#: Distinct pre-tokens kept by a worker, and characters and ids of them for each; then the cache starts afresh.
+KEPT, KEPT_SIZE = 300_000, 80
 #: Characters of a text, or of texts, encoded at once.
 PIECE = 2 << 20
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -138,8 +138,8 @@ def distinct(c: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 class Cache:
     """Ids of pre-tokens by the pre-tokens themselves. encode: ids of each of a list of them."""
 
-    def __init__(self, encode: Callable[[list[str]], list]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT) -> None:
+        self.encode, self.kept = encode, kept
         self.clear()
 
     def clear(self) -> None:
@@ -170,7 +170,7 @@ class Cache:
         """(ids of all pre-tokens in order, where each text's begin and the end). s: the characters of c."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        if len(self.known) > KEPT or self.held > KEPT_BYTES or self.used > KEPT_BYTES:
+        if len(self.known) > self.kept or max(self.held, self.used) > self.kept * KEPT_SIZE:
             self.clear()
         first, back = distinct(c, start, stop)
         keys = [s[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist())]

@@ -8,6 +8,7 @@ Both lanes together are 128 bits: of 1e13 different windows no two are expected
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -197,6 +198,26 @@ def of(texts: pa.Array) -> Words:
     return Words(data, off, start, end, first)
 
 
+_handled = 0
+_libc = None
+
+
+def trim(size: int) -> None:
+    """Give freed memory back to the system each time 16 MB of texts have been handled: a worker outlives its task,
+    and the allocator would keep for it what its largest arrays took."""
+    global _handled, _libc
+    _handled += size
+    if _handled < 16 << 20:
+        return
+    _handled = 0
+    pa.default_memory_pool().release_unused()
+    try:
+        _libc = _libc or ctypes.CDLL("libc.so.6")
+        _libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another system's library
+        pass
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """(from, to) ranges of texts with limit bytes together at most, or of one text."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -208,6 +229,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         held += n
     if len(size) > at:
         yield at, len(size)
+    trim(int(size.sum()))
 
 
 def column(b: pa.RecordBatch, name: str) -> pa.Array:

@@ -36,3 +36,25 @@ def test_stages_and_run(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert sum(x[2] for x in key(again)) == sum(x[2] for x in key(docs))
+
+
+def test_stages_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    """Empty tables, no n_chars, and columns named as the operators name theirs."""
+    names = "doc_id long, text string, score string, _score string, n_removed string, hit string, gone string, class_id string"
+    text = " ".join(f"w{i}" for i in range(30))
+    own = " ".join(f"v{i}" for i in range(60)) + " "
+    rows = [(1, text, *"abcdef"), (2, text, *"abcdef"), (3, own + text, *"abcdef"), (None, None, *"abcdef")]
+    for k, data in enumerate((rows, [])):
+        at = f"{tmp_path}/{k}"
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.createDataFrame(data, names)
+        for j, (_, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, at)
+            if j < 3:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{at}/{j}")
+            docs = spark.read.parquet(f"{at}/{j}")
+            if j == 2 and data:
+                left = {r["doc_id"]: r["text"] for r in docs.collect()}
+                assert left == {1: text, 3: own, None: None} and {r["hit"] for r in docs.collect()} == {"d"}
+        assert (docs.count() > 0) == bool(data)
