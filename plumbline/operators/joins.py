@@ -92,19 +92,21 @@ def resolve(refs: DataFrame, decls: DataFrame, synonyms: DataFrame) -> DataFrame
     """(ref_id, decl_id, how): the declaration (decl_id, schema, package, name) of a reference (ref_id,
     schema, package, qualifier, name): a qualified name in its schema; else in its own package, then
     its own schema, then by a synonym (name, schema, target). Unresolved ones stay, with a reason."""
-    d = decls.select("decl_id", F.upper("schema").alias("ds"), F.upper("package").alias("dp"), F.upper("name").alias("dn"))
+    d = decls.select(F.struct("decl_id").alias("d"), F.upper("schema").alias("ds"), F.upper("package").alias("dp"), F.upper("name").alias("dn"))
+    s = synonyms.select(F.upper("name").alias("name"), F.upper("schema").alias("ds"), F.upper("target").alias("dn"))
+    # only the smallest declaration of a name can be taken, so each join is with one row a name
+    least = lambda df, *on: df.groupBy(*on).agg(F.min("d").alias("d"))
+    named = least(d, "ds", "dn")
+    qualified = named.toDF("qualifier", "name", "d1")
+    package = least(d.where("dp is not null"), "ds", "dp", "dn").toDF("schema", "package", "name", "d2")
+    schema = least(d.where("dp is null"), "ds", "dn").toDF("schema", "name", "d3")
+    synonym = least(s.join(named, ["ds", "dn"]), "name").toDF("name", "d4")
     r = refs.select("ref_id", *(F.upper(c).alias(c) for c in ("schema", "package", "qualifier", "name")))
-    one = lambda df, how, p: df.select("ref_id", "decl_id", F.lit(how).alias("how"), F.lit(p).alias("p"))
-    q = r.where("qualifier is not null")
-    bare = r.where("qualifier is null")
-    found = one(q.join(d, (F.col("ds") == F.col("qualifier")) & (F.col("dn") == F.col("name"))), "qualified", 1)
-    found = found.unionByName(one(bare.join(d, (F.col("ds") == F.col("schema")) & (F.col("dp") == F.col("package")) & (F.col("dn") == F.col("name"))), "package", 2))
-    found = found.unionByName(one(bare.join(d, (F.col("ds") == F.col("schema")) & F.col("dp").isNull() & (F.col("dn") == F.col("name"))), "schema", 3))
-    s = synonyms.select(F.upper("name").alias("name"), F.upper("schema").alias("ts"), F.upper("target").alias("tn"))
-    found = found.unionByName(one(bare.join(s, "name").join(d, (F.col("ds") == F.col("ts")) & (F.col("dn") == F.col("tn"))), "synonym", 4))
-    best = found.groupBy("ref_id").agg(F.min(F.struct("p", "decl_id", "how")).alias("b"))
-    why = F.coalesce("b.how", F.when(F.col("qualifier").isNotNull(), "missing_in_schema").otherwise("not_found"))
-    return r.join(best, "ref_id", "left").select("ref_id", F.col("b.decl_id").alias("decl_id"), why.alias("how"))
+    r = r.join(qualified, ["qualifier", "name"], "left").join(package, ["schema", "package", "name"], "left").join(schema, ["schema", "name"], "left").join(synonym, "name", "left")
+    far = F.col("qualifier").isNotNull()
+    best = F.when(far, F.col("d1")).otherwise(F.coalesce("d2", "d3", "d4"))
+    how = F.when(far, F.when(F.col("d1").isNotNull(), "qualified").otherwise("missing_in_schema")).when(F.col("d2").isNotNull(), "package").when(F.col("d3").isNotNull(), "schema").when(F.col("d4").isNotNull(), "synonym").otherwise("not_found")
+    return r.select("ref_id", best["decl_id"].alias("decl_id"), how.alias("how"))
 
 
 def propagate(calls: DataFrame, summaries: DataFrame) -> DataFrame:

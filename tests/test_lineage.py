@@ -1,6 +1,7 @@
 """SQL models, facts as graphs, documents, ledgers and the gates of repairs, against answers made by hand."""
 
 import json
+import time
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -96,6 +97,16 @@ def test_ranks_without_one_task(spark):
     assert ranked(df.limit(0), "n", "v").count() == 0
 
 
+def test_names_that_many_declare_are_resolved_without_their_pairs(spark):
+    n = 40_000  # all pairs would be 1.6 thousand million
+    refs = spark.range(n).selectExpr("id as ref_id", "'s' as schema", "'p' as package", "if(id % 2 = 0, 'S', null) as qualifier", "'f' as name")
+    decls = spark.range(n).selectExpr("id + 7 as decl_id", "'S' as schema", "if(id % 2 = 0, 'P', 'Q') as package", "'F' as name")
+    began = time.monotonic()
+    got = joins.resolve(refs, decls, spark.createDataFrame([], "name string, schema string, target string")).groupBy("decl_id", "how").count()
+    assert {tuple(r) for r in got.collect()} == {(7, "qualified", n // 2), (7, "package", n // 2)}
+    assert time.monotonic() - began < 60
+
+
 def test_policies():
     p = changes.parse_policy('max_invalidations = 5\nblocked_kinds = ["TRIGGER"]\nmin_confidence = "medium"\nblocking_unknown_reasons = ["WrappedSource"]\n')
     assert p == {"max_invalidations": 5, "blocked_kinds": ("TRIGGER",), "min_confidence": "Medium", "blocking_reasons": ("WrappedSource",)}
