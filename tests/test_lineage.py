@@ -84,6 +84,16 @@ def test_facts_to_graph_to_impact(spark, tmp_path):
         factgraph.load(spark, str(tmp_path / "bad"))
 
 
+def test_long_statements_are_read_in_linear_time():
+    n = 8_000
+    sql = "select " + ", ".join(f"x{i}.c{i}" for i in range(n)) + " from " + ", ".join(f"s.t{i} x{i}" for i in range(n))
+    began = time.monotonic()
+    facts = Q.use_facts(Q.columns(sql))
+    assert time.monotonic() - began < 4
+    assert len(facts) == 2 * n and facts[0] == ("S.T0", "Reads") and facts[-1] == (f"S.T{n - 1}.C{n - 1}", "ReadsColumn:exact")
+    assert Q.table_facts(Q.resolve(sql)) == facts[:n]
+
+
 def test_shortest_path_by_queue_order(spark):
     e = spark.createDataFrame([(5, 1, 2), (3, 1, 3), (1, 2, 4), (2, 3, 4), (9, 4, 5), (8, 4, 5), (7, 5, 1)], "edge_id long, src long, dst long")
     got = sorted(tuple(r) for r in traverse.shortest_path(e, 1, 5).collect())
