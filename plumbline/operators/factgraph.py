@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frames import cut
 from ..schemas import EDGE, NODE, key
-from .ledger import mint
+from .ledger import minted
 from .traverse import dependencies, reach
 
 PAYLOAD = "from_logical_id string, to_logical_id string, edge_kind string"
 
 
 def use_facts(uses: DataFrame, component: str = "sql") -> DataFrame:
-    """Minted dependency_edge facts of uses (owner, target, edge_kind)."""
+    """Minted dependency_edge facts of uses (owner, target, edge_kind), each use once before it is written out."""
+    uses = uses.select("owner", "target", "edge_kind").distinct()
     payload = F.to_json(F.struct(F.col("owner").alias("from_logical_id"), F.col("target").alias("to_logical_id"), "edge_kind"))
-    return mint(uses.select(F.lit("dependency_edge").alias("kind"), F.lit(component).alias("component"), F.col("owner").alias("source_logical_id"), payload.alias("payload")))
+    return minted(uses.select(F.lit("dependency_edge").alias("kind"), F.lit(component).alias("component"), F.col("owner").alias("source_logical_id"), payload.alias("payload")))
 
 
 def edges(facts: DataFrame) -> DataFrame:
@@ -36,18 +38,18 @@ def _start(facts: DataFrame, anchors: list[str]) -> DataFrame:
 
 def dependencies_from_facts(facts: DataFrame, anchors: list[str], max_depth: int | None = None) -> DataFrame:
     """Every edge out of what the anchors depend on, within so many steps."""
-    return dependencies(edges(facts), _start(facts, anchors), max_depth)
+    return dependencies(cut(edges(facts)), _start(facts, anchors), max_depth)
 
 
 def impact_from_facts(facts: DataFrame, anchors: list[str], max_depth: int | None = None) -> DataFrame:
     """(node_id, tier, hops) of all that depend on the anchors; every fact's edge is exact."""
-    found = reach(edges(facts), _start(facts, anchors), False, max_depth).where("hops > 0")
+    found = reach(cut(edges(facts)), _start(facts, anchors), False, max_depth).where("hops > 0")
     return found.select("node_id", F.lit("Exact").alias("tier"), "hops")
 
 
 def graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts as a graph's nodes and edges. Ids are hashes of names, so that any run gives the same ones."""
-    e = edges(facts)
+    e = cut(edges(facts))
     node_id = lambda c: F.xxhash64(c)
     names = e.select(F.col("src").alias("logical_id")).union(e.select(F.col("dst").alias("logical_id"))).distinct()
     nodes = names.select(node_id("logical_id").alias("node_id"), "logical_id", F.lit(None).cast("string").alias("persistent_id"), F.lit("Fact").alias("identity_kind"))

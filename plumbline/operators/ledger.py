@@ -19,8 +19,13 @@ def fact_id(*columns: str) -> Column:
 
 def mint(facts: DataFrame) -> DataFrame:
     """Facts (kind, component, source_logical_id, payload) with ids, each content once."""
+    return minted(facts).dropDuplicates(["fact_id"])
+
+
+def minted(facts: DataFrame) -> DataFrame:
+    """Facts with ids, of contents that are known to differ."""
     cols = ("kind", "component", "source_logical_id", "payload")
-    return facts.select(fact_id(*cols).alias("fact_id"), *cols).dropDuplicates(["fact_id"])
+    return facts.select(fact_id(*cols).alias("fact_id"), *cols)
 
 
 def by_kind(facts: DataFrame, kind: str) -> DataFrame:

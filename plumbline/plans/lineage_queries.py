@@ -18,7 +18,7 @@ from ..operators import traverse as V
 from ..sources import sqlmodel as Q
 from . import carriers as C
 from .carriers import with_ctes
-from .tables import cut, table
+from .tables import table
 
 
 def statements(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     o = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(part)).alias("p"))
     k = F.col("l_orderkey")
     refs, cols, ons = (F.col(f"p.{f}") for f in ("ref", "col", "on"))
-    rest = F.slice(F.zip_with(refs, ons, lambda r, c: F.concat(F.lit(" join "), r, F.lit(" on "), c)), 2, 100)
+    rest = F.slice(F.zip_with(refs, ons, lambda r, c: F.concat(F.lit(" join "), r, F.lit(" on "), c)), F.lit(2), F.size("p"))
     commas = F.concat(F.array_join(refs, ", "), F.lit(" where "), F.array_join(ons, " and "))
     source = F.when(k % 2 == 0, commas).otherwise(F.concat(F.element_at(refs, 1), F.array_join(rest, ""), F.lit(" where x1.k = x1.k")))
     target = F.concat(F.lit("app.t"), k % 7)
@@ -95,9 +95,10 @@ def sql_use_facts(s, d):
 def _facts(s, d):
     """Facts minted from the statements' texts, each order's by its customer; some customers' routines call others'."""
     owner = table(s, d, "orders").select(F.col("o_orderkey").alias("stmt_id"), F.concat(F.lit("app.c"), "o_custkey").alias("owner"))
-    uses = Q.facts_of(statements(s, d)).where("edge_kind in ('Reads', 'Writes', 'ReadsWrites')").join(owner, "stmt_id").select("owner", "target", "edge_kind")
+    texts = statements(s, d).join(owner, "stmt_id").select("owner", "text")  # where the statements lie, before they are read
+    uses = Q.table_facts_of(texts, "owner")
     calls = table(s, d, "customer").where("c_custkey > 0").select(F.concat(F.lit("App.C"), F.col("c_custkey") - 1).alias("owner"), F.concat(F.lit(" app.c"), "c_custkey").alias("target"), F.lit("Calls").alias("edge_kind")).where("cast(substring(owner, 6) as int) % 10 < 3")
-    return cut(X.use_facts(uses.unionByName(calls)))
+    return X.use_facts(uses.unionByName(calls))
 
 
 _FACTS = f"""{_COLUMNS},

@@ -94,6 +94,21 @@ def test_long_statements_are_read_in_linear_time():
     assert Q.table_facts(Q.resolve(sql)) == facts[:n]
 
 
+def test_facts_are_read_once_a_walk(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            read.add(p.num_rows)
+            yield p
+
+    uses = spark.createDataFrame([(f"a{i}", f"a{i + 1}", "Calls") for i in range(6)], "owner string, target string, edge_kind string").repartition(1)
+    for walk, rows in ((factgraph.impact_from_facts, 6), (factgraph.dependencies_from_facts, 0)):
+        read.value = 0
+        facts = factgraph.use_facts(uses.mapInArrow(count, uses.schema))
+        assert walk(facts, ["a6"]).count() == rows and read.value == 6
+
+
 def test_shortest_path_by_queue_order(spark):
     e = spark.createDataFrame([(5, 1, 2), (3, 1, 3), (1, 2, 4), (2, 3, 4), (9, 4, 5), (8, 4, 5), (7, 5, 1)], "edge_id long, src long, dst long")
     got = sorted(tuple(r) for r in traverse.shortest_path(e, 1, 5).collect())
