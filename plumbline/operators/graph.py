@@ -49,11 +49,12 @@ def violations(edges: DataFrame) -> DataFrame:
 
 def orphans(edges: DataFrame, nodes: DataFrame, incomplete: bool = False) -> DataFrame:
     """Nodes that nothing refers to: without own references surely unused, else likely."""
-    real = edges.where("src <> dst")
-    free = nodes.join(real.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
-    out = real.select(F.col("src").alias("node_id")).distinct().withColumn("o", F.lit(True))
+    # a row an end, put together before it is sent: of most edges the target is one of few
+    end = lambda c, out: F.struct(F.col(c).alias("node_id"), F.lit(out).alias("o"), F.lit(not out).alias("i"))
+    ends = edges.where("src <> dst").select(F.inline(F.array(end("src", True), end("dst", False)))).groupBy("node_id").agg(F.bool_or("o").alias("o"), F.bool_or("i").alias("i"))
+    free = nodes.select("node_id", "logical_id").join(ends, "node_id", "left").where("i is null or not i")
     t = F.lit("Inconclusive") if incomplete else F.when(F.col("o"), "LikelyUnused").otherwise("HighConfidenceUnused")
-    return free.join(out, "node_id", "left").select("node_id", "logical_id", t.alias("tier"))
+    return free.select("node_id", "logical_id", t.alias("tier"))
 
 
 def orphan_doctor(found: DataFrame, window_days: int, audited: bool) -> DataFrame:
