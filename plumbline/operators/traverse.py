@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..frames import cut, ranked
 from ..schemas import tier
 
@@ -154,12 +155,15 @@ def unsafe_paths(edges: DataFrame, start: int, goal: int, max_depth: int = 8, ma
     Edges that lie on no path of that length are left out first. What remains is searched depth first, and
     only until the limit, in one task if it has task_edges at most; else level by level, where a beginning goes that comes
     behind as many whole paths as are wanted."""
-    e = edges.select("edge_id", "src", "dst", ((F.col("kind") == "OpaqueDynamic") | (tier() == 0)).alias("bad"))
     spark = edges.sparkSession
+    ship(spark)
+    e = cut(edges.select("edge_id", "src", "dst", ((F.col("kind") == "OpaqueDynamic") | (tier() == 0)).alias("bad")))
     node = lambda n: spark.createDataFrame([(n,)], "node_id long")
-    near = reach(edges, node(goal), False, max_depth)
-    ahead = reach(edges, node(start), True, max_depth)
-    e = e.join(near.select(F.col("node_id").alias("dst"), F.col("hops").alias("left")), "dst").join(ahead.select(F.col("node_id").alias("src"), F.col("hops").alias("gone")), "src")
+    ahead = reach(e, node(start), True, max_depth)
+    # steps to the goal are counted among what the start reaches: no path leads through anything else
+    e = cut(e.join(ahead.select(F.col("node_id").alias("src"), F.col("hops").alias("gone")), "src"))
+    near = reach(e, node(goal), False, max_depth)
+    e = e.join(near.select(F.col("node_id").alias("dst"), F.col("hops").alias("left")), "dst")
     e = cut(e.where(F.col("gone") + 1 + F.col("left") <= max_depth).select("edge_id", "src", "dst", "bad", "left"))
     columns = "path_ids array<long>, node_ids array<long>, length int"
     if e.count() <= task_edges:
@@ -229,6 +233,7 @@ def _strong(rows: pd.DataFrame) -> pd.DataFrame:
 
 def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, component): the smallest node of the node's strongly connected component, for nodes on a cycle."""
+    ship(edges.sparkSession)
     e = cut(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node_id"), F.col("src").alias("component"))
     e = cut(e.where("src <> dst"))
@@ -318,6 +323,7 @@ def _kahn(rows: pd.DataFrame) -> pd.DataFrame:
 def recompile_order(edges: DataFrame, nodes: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, position): each node after all it depends on, among the given nodes; first come, first
     served, equals by node id. Position is null for nodes on a cycle or behind one."""
+    ship(edges.sparkSession)
     own = nodes.select(F.col("node_id").alias("src")).distinct()
     inner = edges.select("src", "dst").where("src <> dst").join(own, "src", "left_semi").join(own.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst").distinct()
     inner = cut(inner)

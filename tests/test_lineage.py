@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from plumbline.frames import cut, ranked
-from plumbline.operators import changes, factgraph, gaps, joins, ledger, render, rules, traverse
+from plumbline.operators import changes, factgraph, gaps, graph, joins, ledger, render, rules, traverse
 from plumbline.sources import sqlmodel as Q
 
 
@@ -109,6 +109,27 @@ def test_facts_are_read_once_a_walk(spark):
         assert walk(facts, ["a6"]).count() == rows and read.value == 6
 
 
+def test_unsafe_paths_read_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            read.add(p.num_rows)
+            yield p
+
+    e = spark.createDataFrame([(i, i, i + 1, "Calls", "Low" if i == 2 else "High") for i in range(5)] + [(9, 70, 5, "Calls", "High")], "edge_id long, src long, dst long, kind string, conf_level string").repartition(1)
+    got = traverse.unsafe_paths(e.mapInArrow(count, e.schema), 0, 5).collect()
+    assert [r["node_ids"] for r in got] == [[0, 1, 2, 3, 4, 5]] and read.value == 6
+
+
+def test_orphans_put_ends_together_before_they_are_joined(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")], "node_id long, logical_id string")
+    edges = spark.createDataFrame([(1, 2), (3, 3), (1, 2), (4, 2)], "src long, dst long")
+    found = graph.orphans(edges, nodes)
+    assert {(r["logical_id"], r["tier"]) for r in found.collect()} == {("a", "LikelyUnused"), ("c", "HighConfidenceUnused"), ("d", "LikelyUnused"), ("e", "HighConfidenceUnused")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_shortest_path_by_queue_order(spark):
     e = spark.createDataFrame([(5, 1, 2), (3, 1, 3), (1, 2, 4), (2, 3, 4), (9, 4, 5), (8, 4, 5), (7, 5, 1)], "edge_id long, src long, dst long")
     got = sorted(tuple(r) for r in traverse.shortest_path(e, 1, 5).collect())
