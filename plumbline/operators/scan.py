@@ -26,6 +26,11 @@ def masked(c="text") -> Column:
     return F.regexp_replace(lower(c), r"'(?:[^']|'')*'", "''")
 
 
+def squeezed() -> Column:
+    """Masked, with runs of spaces as one."""
+    return F.regexp_replace(masked(), r"\s+", " ")
+
+
 class _Gather:
     """Takes what scanners would do one after the other, to do it in one pass over the texts."""
 
@@ -36,23 +41,38 @@ class _Gather:
         self.found.append(F.transform(details, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("detail"))))
 
 
+class _Text:
+    """The columns of _read by name; made when asked for, as they need a session."""
+
+    def __getattr__(self, c: str) -> Column:
+        return F.col(f"__{c}")
+
+
+_text = _Text()
+
+
+def _read(units: DataFrame) -> DataFrame:
+    """Units with their texts in the forms that scanners ask for, each made once however many ask."""
+    return units.select("unit", lower().alias("__low"), masked().alias("__masked"), squeezed().alias("__squeezed"))
+
+
 def _sites(units, kind: str, when: Column, detail: Column | None = None):
     detail = F.lit(None).cast("string") if detail is None else detail
     if isinstance(units, _Gather):
         return units.add(kind, F.when(when, F.array(detail)))
-    return units.where(when).select("unit", F.lit(kind).alias("kind"), detail.alias("detail"))
+    return _read(units).where(when).select("unit", F.lit(kind).alias("kind"), detail.alias("detail"))
 
 
 def _each(units, kind: str, details: Column, once: bool = True):
     details = F.array_distinct(details) if once else details
     if isinstance(units, _Gather):
         return units.add(kind, details)
-    return units.select("unit", F.lit(kind).alias("kind"), F.explode(details).alias("detail"))
+    return _read(units).select("unit", F.lit(kind).alias("kind"), F.explode(details).alias("detail"))
 
 
 def exception_handlers(units: DataFrame) -> DataFrame:
     """detail: scope|body, the scope others or a name, the body noop, commit, rollback or other."""
-    tail = F.regexp_extract(lower(), r"(?s)\bexception\b(.*)$", 1)
+    tail = F.regexp_extract(_text.low, r"(?s)\bexception\b(.*)$", 1)
     parts = F.split(tail, r"\bwhen\s+")
     parts = F.slice(parts, 2, F.size(parts))
     scope = lambda h: F.trim(F.regexp_extract(h, r"(?s)^(.*?)\s+then\b", 1))
@@ -68,29 +88,29 @@ def exception_handlers(units: DataFrame) -> DataFrame:
 def cursor_for_loops(units: DataFrame) -> DataFrame:
     """detail: variable|whether its body changes data."""
     head = r"\bfor\s+([a-z_][a-z0-9_]*)\s+in\s+(\(\s*select|[a-z_][a-z0-9_]*\s+loop)"
-    names = F.regexp_extract_all(masked(), F.lit(head), F.lit(1))
-    dml = masked().rlike(r"(?s)\bloop\b.*\b(insert\s+into|update|delete\s+from|merge\s+into)\b.*\bend\s+loop\b")
+    names = F.regexp_extract_all(_text.masked, F.lit(head), F.lit(1))
+    dml = _text.masked.rlike(r"(?s)\bloop\b.*\b(insert\s+into|update|delete\s+from|merge\s+into)\b.*\bend\s+loop\b")
     return _each(units, "cursor_for_loop", F.transform(names, lambda v: F.concat_ws("|", v, dml.cast("string"))))
 
 
 def missing_instrumentation(units: DataFrame) -> DataFrame:
-    t = masked()
+    t = _text.masked
     marks = "|".join(re.escape(m) for m in INSTRUMENTS)
     return _sites(units, "missing_instrumentation", t.rlike(r"\bbegin") & ~t.rlike(marks))
 
 
 def hardcoded_credentials(units: DataFrame) -> DataFrame:
     """detail: the marker, where a literal begins within 64 characters after it and before a semicolon."""
-    found = F.concat(*(F.when(lower().rlike(m + r"[^;']{0,64}'"), F.array(F.lit(m))).otherwise(F.array().cast("array<string>")) for m in CREDENTIALS))
+    found = F.concat(*(F.when(_text.low.rlike(m + r"[^;']{0,64}'"), F.array(F.lit(m))).otherwise(F.array().cast("array<string>")) for m in CREDENTIALS))
     return _each(units, "hardcoded_credential", found)
 
 
 def invoker_rights(units: DataFrame) -> DataFrame:
-    return _sites(units, "invoker_rights", F.contains(F.regexp_replace(masked(), r"\s+", " "), F.lit("authid current_user")))
+    return _sites(units, "invoker_rights", F.contains(_text.squeezed, F.lit("authid current_user")))
 
 
 def ref_cursor_return(units: DataFrame) -> DataFrame:
-    t = F.regexp_replace(masked(), r"\s+", " ")
+    t = _text.squeezed
     return _sites(units, "ref_cursor_return", F.contains(t, F.lit("return sys_refcursor")) | F.contains(t, F.lit("return ref cursor")))
 
 
@@ -99,23 +119,23 @@ def _dml(t: Column) -> Column:
 
 
 def dml_in_function(units: DataFrame) -> DataFrame:
-    t = masked()
+    t = _text.masked
     return _sites(units, "dml_in_function", t.rlike(r"\bfunction") & _dml(t))
 
 
 def unbounded_bulk_collect(units: DataFrame) -> DataFrame:
-    all_ = F.regexp_extract_all(F.regexp_replace(masked(), r"\s+", " "), F.lit(r"(bulk collect into[^;]*)"), F.lit(1))
+    all_ = F.regexp_extract_all(_text.squeezed, F.lit(r"(bulk collect into[^;]*)"), F.lit(1))
     return _sites(units, "unbounded_bulk_collect", F.exists(all_, lambda s: ~F.contains(s, F.lit("limit"))))
 
 
 def deprecated_features(units: DataFrame) -> DataFrame:
-    t = F.regexp_replace(masked(), r"\s+", " ")
+    t = _text.squeezed
     marks = ("dbms_job", "(+)", "commit work", "rollback work")
     return _each(units, "deprecated_feature", F.array_compact(F.array(*(F.when(F.contains(t, F.lit(m)), F.lit(m)) for m in marks))))
 
 
 def deterministic_misuse(units: DataFrame) -> DataFrame:
-    t = masked()
+    t = _text.masked
     marks = ("sysdate", "systimestamp", "current_timestamp", "dbms_random", ".nextval")
     found = F.array_compact(F.array(F.when(_dml(t), F.lit("dml")), *(F.when(F.contains(t, F.lit(m)), F.lit(m)) for m in marks)))
     return _each(units, "deterministic_misuse", F.when(F.contains(t, F.lit("deterministic")), found))
@@ -123,7 +143,7 @@ def deterministic_misuse(units: DataFrame) -> DataFrame:
 
 def mutating_triggers(units: DataFrame) -> DataFrame:
     """detail: the table, where a row trigger uses the table it stands on."""
-    t = F.regexp_replace(masked(), r"\s+", " ")
+    t = _text.squeezed
     own = F.regexp_extract(t, r"\btrigger\b.*? on (" + _ID + r")", 1)
     body = F.regexp_extract(t, r"(for each row.*)$", 1)
     uses = F.lit(False)
@@ -133,7 +153,7 @@ def mutating_triggers(units: DataFrame) -> DataFrame:
 
 
 def log_without_reraise(units: DataFrame) -> DataFrame:
-    body = F.regexp_extract(masked(), r"(?s)\bexception\b\s+when\b(.*)$", 1)
+    body = F.regexp_extract(_text.masked, r"(?s)\bexception\b\s+when\b(.*)$", 1)
     first = F.element_at(F.split(body, r"\bwhen\s"), 1)
     logs = first.rlike(r"log|dbms_output|trace|debug")
     return _sites(units, "log_without_reraise", logs & ~first.rlike(r"\braise"))
@@ -141,7 +161,7 @@ def log_without_reraise(units: DataFrame) -> DataFrame:
 
 def cross_schema_writes(units: DataFrame) -> DataFrame:
     """detail: schema.object written by a unit of another schema (the part of its name before the dot)."""
-    all_ = F.regexp_extract_all(masked(), F.lit(r"\b(?:insert\s+into|update|delete\s+from|merge\s+into)\s+([a-z0-9_$#]+\.[a-z0-9_$#]+)"), F.lit(1))
+    all_ = F.regexp_extract_all(_text.masked, F.lit(r"\b(?:insert\s+into|update|delete\s+from|merge\s+into)\s+([a-z0-9_$#]+\.[a-z0-9_$#]+)"), F.lit(1))
     own = F.lower(F.substring_index("unit", ".", 1))
     return _each(units, "cross_schema_write", F.filter(all_, lambda o: F.substring_index(o, ".", 1) != own))
 
@@ -149,7 +169,7 @@ def cross_schema_writes(units: DataFrame) -> DataFrame:
 def sensitive_synonyms(units: DataFrame) -> DataFrame:
     """detail: synonym>target of public synonyms whose name or target sounds sensitive."""
     p = r"public\s+synonym\s+(" + _ID + r")\s+for\s+(" + _ID + ")"
-    s, t = F.regexp_extract(masked(), p, 1), F.regexp_extract(masked(), p, 2)
+    s, t = F.regexp_extract(_text.masked, p, 1), F.regexp_extract(_text.masked, p, 2)
     last = F.substring_index(t, ".", -1)
     hot = F.concat_ws(" ", s, last).rlike("|".join(SENSITIVE))
     return _sites(units, "sensitive_public_synonym", (s != "") & hot, F.concat_ws(">", s, t))
@@ -157,19 +177,19 @@ def sensitive_synonyms(units: DataFrame) -> DataFrame:
 
 def null_tests_on_indexed(units: DataFrame) -> DataFrame:
     """detail: a column that an index of the same text holds and that is tested for null."""
-    t = masked()
+    t = _text.masked
     cols = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"create\s+(?:unique\s+|bitmap\s+)?index\s+\S+\s+on\s+[a-z0-9_$#.]+\s*\(([^)]*)\)"), F.lit(1)), lambda x: F.split(F.regexp_replace(x, r"\s+", ""), ",")))
     null = F.regexp_extract_all(t, F.lit(r"([a-z0-9_$#]+)\s+is\s+null"), F.lit(1))
     return _each(units, "is_null_on_indexed_column", F.array_intersect(cols, null))
 
 
 def db_links(units: DataFrame) -> DataFrame:
-    return _each(units, "db_link_reference", F.transform(F.regexp_extract_all(masked(), F.lit(r"([a-z0-9_$#.]+@[a-z0-9_$#]+)"), F.lit(1)), lambda x: F.upper(x)))
+    return _each(units, "db_link_reference", F.transform(F.regexp_extract_all(_text.masked, F.lit(r"([a-z0-9_$#.]+@[a-z0-9_$#]+)"), F.lit(1)), lambda x: F.upper(x)))
 
 
 def opaque_sites(units: DataFrame) -> DataFrame:
     """detail: DBMS_SQL, where statements are built by that package's calls."""
-    return _sites(units, "opacity", F.contains(masked(), F.lit("dbms_sql.")), F.lit("DBMS_SQL"))
+    return _sites(units, "opacity", F.contains(_text.masked, F.lit("dbms_sql.")), F.lit("DBMS_SQL"))
 
 
 SCANNERS = (exception_handlers, cursor_for_loops, missing_instrumentation, hardcoded_credentials, invoker_rights, ref_cursor_return, dml_in_function, unbounded_bulk_collect, deprecated_features, deterministic_misuse, mutating_triggers, log_without_reraise, cross_schema_writes, sensitive_synonyms, null_tests_on_indexed, db_links, opaque_sites)
@@ -181,7 +201,7 @@ def all_sites(units: DataFrame) -> DataFrame:
     for f in SCANNERS:
         f(g)
     none = F.array().cast("array<struct<kind:string,detail:string>>")
-    return units.select("unit", F.inline(F.concat(*(F.coalesce(x, none) for x in g.found))))
+    return _read(units).select("unit", F.inline(F.concat(*(F.coalesce(x, none) for x in g.found))))
 
 
 # embedded SQL
