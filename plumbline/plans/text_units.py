@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, table
+from .tables import cut, spread, table
 
 TEXTS = (
     "create or replace function f# return sys_refcursor is begin insert into audit.log values (#); end;",
@@ -56,11 +56,11 @@ def _sql_case(texts: tuple) -> str:
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     # written, as real sources are: the expressions of scanners would each repeat the whole CASE
-    return cut(table(spark, d, "orders").select(F.concat(F.lit("app.u"), "o_orderkey").alias("unit"), _case(TEXTS).alias("text")))
+    return cut(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(F.concat(F.lit("app.u"), "o_orderkey").alias("unit"), _case(TEXTS).alias("text")))
 
 
 def statements(spark: SparkSession, d: str) -> DataFrame:
-    return cut(table(spark, d, "orders").select(F.col("o_orderkey").alias("stmt_id"), _case(STATEMENTS).alias("sql")))
+    return cut(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("stmt_id"), _case(STATEMENTS).alias("sql")))
 
 
 LOW = "lower(text) AS low, regexp_replace(lower(text), '''(?:[^'']|'''')*''', '''''', 'g') AS m"

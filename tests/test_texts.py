@@ -196,3 +196,27 @@ def test_all_scanners_in_one_pass(spark):
     units = spark.createDataFrame([(str(i), t.replace("#", str(i))) for i, t in enumerate(TEXTS)] + [("null", None), ("empty", "")], "unit string, text string")
     apart = sorted((r["unit"], r["kind"], r["detail"] or "") for f in scan.SCANNERS for r in f(units).collect())
     assert sorted((r["unit"], r["kind"], r["detail"] or "") for r in scan.all_sites(units).collect()) == apart and len({k for _, k, _ in apart}) == len(scan.SCANNERS)
+
+
+def test_kinds_of_tokens_are_counted_where_they_are_read(spark):
+    texts = ["a := 'x';", None, "", "-- all\nb 1 'it''s'"]
+    units = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "unit int, text string")
+    want = {r["kind"]: r["count"] for r in P.tapes(units).groupBy("kind").count().collect()}
+    got = P.kinds(units).groupBy("kind").sum("n").collect()
+    assert {r[0]: r[1] for r in got} == want == {"word": 2, "space": 5, "sign": 2, "string": 2, "comment": 1, "number": 1}
+
+
+def test_units_are_spread_over_tasks(spark, tmp_path):
+    spark.range(1000).selectExpr("id as o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    from plumbline.plans import parsing_queries
+
+    tasks = parsing_queries._orders(spark, str(tmp_path)).selectExpr("spark_partition_id() as p").distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_scanners_make_each_form_of_a_text_once(spark):
+    from plumbline.operators import scan
+
+    units = spark.createDataFrame([("u", "begin null; end;")], "unit string, text string")
+    plan = scan.all_sites(units)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") <= 6
